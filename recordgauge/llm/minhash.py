@@ -56,10 +56,10 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]
     if not len(found):
         return [[] for _ in _SIZES]
     low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048, None] * a
-        part += b
-        np.minimum(low, part.min(axis=0), out=low)
+    for at in range(0, len(found), 4096):
+        part = a[:, None] * found[None, at : at + 4096]
+        part += b[:, None]
+        np.minimum(low, part.min(axis=1), out=low)
     pairs = mix(low[0::2] * np.uint64(0x9E3779B97F4A7C15) + mix(low[1::2])).view(np.int64).tolist()
     out, at = [], 0
     for n in _SIZES:
