@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from recordgauge.llm import bpe, chat_format, line_dedup, minhash, quality, url_filter
+import corpus_pipeline
+from recordgauge.llm import bpe, chat_format, decontaminate, line_dedup, minhash, quality, url_filter
 from recordgauge.session import table
 
 
@@ -12,8 +13,10 @@ def queries() -> dict:
         "op4_line_dedup": lambda s, d: line_dedup.op4(table(s, d, "documents")),
         "op6_minhash_dedup": lambda s, d: minhash.op6(table(s, d, "documents")),
         "op7_byte_bpe": lambda s, d: bpe.op7(table(s, d, "documents")),
+        "op8_decontamination": lambda s, d: decontaminate.op8(table(s, d, "documents"), table(s, d, "benchmark")),
         "op9_chat_format": lambda s, d: chat_format.op9(table(s, d, "conversations")),
         "op10_url_filter": lambda s, d: url_filter.op10(table(s, d, "pages")),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -5,18 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-MASK = (1 << 64) - 1
 
 
 def constants(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit constants by the splitmix rule."""
-    out, x = [], seed
-    for _ in range(n):
-        x = (x + 0x9E3779B97F4A7C15) & MASK
-        z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
-        out.append((z ^ (z >> 31)) | 1)
-    return np.array(out, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed) + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=np.uint64)
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
 
 
 PLACE = constants(WORDS, 11)
