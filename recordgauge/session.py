@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder: later plans restart there, also after lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back: later plans restart at a plain table, also after lost executors.
+
+    The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(gone)
+    return spark.read.schema(df.schema).parquet(path)
