@@ -21,9 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("comp")))
-        for _ in range(2):
-            up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-            parent = cut(parent.join(up, "comp").select("id", F.col("top").alias("comp")))
+        up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        once = parent.join(up, "comp").select("id", F.col("top").alias("comp"))
+        parent = cut(once.join(up, "comp").select("id", F.col("top").alias("comp")))
         if label is None:
             label = parent
         else:

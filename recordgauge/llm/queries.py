@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from recordgauge.llm import bpe, chat_format, decontaminate, line_dedup, minhash, quality, url_filter
+from recordgauge.llm import bpe, chat_format, decontaminate, line_dedup, minhash, pii, quality, url_filter
 from recordgauge.session import table
 
 
 def queries() -> dict:
     return {
+        "op2_contextual_pii": lambda s, d: pii.op2(table(s, d, "documents")),
         "op3_compression_quality": lambda s, d: quality.op3(table(s, d, "documents"), table(s, d, "labels")),
         "op4_line_dedup": lambda s, d: line_dedup.op4(table(s, d, "documents")),
         "op6_minhash_dedup": lambda s, d: minhash.op6(table(s, d, "documents")),
