@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from recordgauge.llm import bpe, chat_format, decontaminate, line_dedup, minhash, pii, quality, url_filter
+from recordgauge.llm import bpe, chat_format, decontaminate, html_text, line_dedup, media, minhash, pii, quality, url_filter
 from recordgauge.session import table
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": lambda s, d: html_text.op1(table(s, d, "pages")),
         "op2_contextual_pii": lambda s, d: pii.op2(table(s, d, "documents")),
         "op3_compression_quality": lambda s, d: quality.op3(table(s, d, "documents"), table(s, d, "labels")),
         "op4_line_dedup": lambda s, d: line_dedup.op4(table(s, d, "documents")),
+        "op5_media": lambda s, d: media.op5(table(s, d, "documents")),
         "op6_minhash_dedup": lambda s, d: minhash.op6(table(s, d, "documents")),
         "op7_byte_bpe": lambda s, d: bpe.op7(table(s, d, "documents")),
         "op8_decontamination": lambda s, d: decontaminate.op8(table(s, d, "documents"), table(s, d, "benchmark")),
