@@ -6,22 +6,23 @@ A pair of similarity s shares a table with probability (1 - (1 - s**2)**HALVES)*
 at 0.75 and 0.99998 at 0.8.
 
 Texts of one shingle set form one class from the start (a digest of the sorted set), so
-copies are never paired. Within a table key no pairs are emitted: each class is compared
-with the least of its key (a star). The confirmed stars are contracted to components; keys
-whose members then lie in one component are done, which is so for groups of near copies of
-any size. What stays: keys over several components. Up to SMALL classes, all pairs across
-components are compared. Larger keys (shared passages, say) are split by tensoring the key
-with one more collection of sub-keys, again with a star first; each round divides them by
-similarity**2 and keeps 0.9997 of true pairs, until the keys are small or no split is left;
-then the pairs across components that remain are compared, all of them: nothing is capped.
-
-Scale: signatures are one Arrow pass; table rows are 16 bytes; the collection of keys with
-one class is aggregated on the map side and never joined; confirmation fetches the whole
-texts of candidate pairs only, sorted by the star, so that a set is built once.
+copies are never paired. Within a table key each class is first compared with the least of
+its key only (a star), and confirmed stars are contracted to components: groups of near
+copies are settled by that, whatever their size. What stays are keys over several
+components. There, classes outside the component of the key's head are compared with those
+of other components, unless sizes or the triangle inequality of the Jaccard distance, with
+the measured distances to the head, prove that they can't be similar enough. A pair that
+shares several keys is compared at the first of them only. Nothing is capped or sampled; the
+comparisons that stay grow with (classes outside the head's component) x (classes of the
+key), which is many only where many documents lie just below the similarity.
+
+Scale: signatures are one Arrow pass; table rows are 20 bytes; hot keys are partially
+aggregated, and joins on them read plain tables, whose skewed partitions adaptive execution
+splits; confirmation fetches the whole texts of candidate pairs only.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own
 component; rows of one doc_id stand for one document; a null doc_id is kept, with a null
-component; other columns pass through `near_duplicates`' caller by a join on doc_id.
+component; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,23 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordgauge.llm.components import connected_components
-from recordgauge.llm.shingles import constants, mix, shingle_set, similar
+from recordgauge.llm.shingles import constants, mix, overlap, shingle_set
 from recordgauge.session import cut
 
 HALVES, PER_HALF, PERCENT = 10, 2, 75
-#: Collections of sub-keys: two make the tables, each further one splits large keys once.
-COLLECTIONS, SPLIT_HALVES = 4, 14
-#: Up to so many classes of a key are compared pairwise.
-SMALL = 24
 #: Up to so many ids of candidates (8 bytes each) are broadcast, so that only their texts are shuffled.
 FEW_IDS = 500_000
 
 SIGNATURE = T.StructType([
     T.StructField("n_shingles", T.LongType()),
     T.StructField("set_id", T.BinaryType()),
-    *[T.StructField(f"c{k}", T.ArrayType(T.LongType())) for k in range(COLLECTIONS)],
+    *[T.StructField(f"c{k}", T.ArrayType(T.LongType())) for k in range(2)],
 ])
-_SIZES = [HALVES, HALVES] + [SPLIT_HALVES] * (COLLECTIONS - 2)
+_SIZES = [HALVES, HALVES]
 
 
 def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
@@ -91,14 +88,15 @@ def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those (a, b) of `pairs` whose documents' full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def measure(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, distance, linked) of each of `pairs`, from the documents' full sets."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    schema = T.StructType([*pairs.select("a", "b").schema.fields, T.StructField("distance", T.DoubleType()), T.StructField("linked", T.BooleanType())])
 
     def run(batches):
         import pyarrow as pa
@@ -114,66 +112,64 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
             return got
 
         for batch in batches:
-            fits = [similar(of(x), of(y), percent) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+            x = [overlap(of(p), of(q)) for p, q in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+            distance, linked = [1 - i / u if u else 1.0 for i, u in x], [bool(i) and 100 * i >= percent * u for i, u in x]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=schema.names)
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema)
+    return both.mapInArrow(run, schema)
 
 
-def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, rep) of keys with several classes, and each class paired with its key's least."""
-    heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail").select("key", "head")
-    shared = cut(members.join(heads, "key").select("key", "rep", "head"))
-    return shared.select("key", "rep"), shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-
-
-def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to give their components.
 
-    classes: (rep, n_shingles, c0..); docs: (doc_id, text)."""
-    sizes = classes.select("rep", "n_shingles")
+    classes: (rep, n_shingles, c0, c1); docs: (doc_id, text)."""
+    most = 1 - percent / 100
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Sizes alone rule out pairs that can't reach the similarity."""
-        x = sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
-        y = sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))
-        return pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    def could(x: str, y: str):
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     table = F.flatten(F.transform("c0", lambda x, i: F.transform("c1", lambda y, j: F.xxhash64(x, y, i * HALVES + j))))
-    members = classes.filter("n_shingles > 0").select("rep", F.explode(table).alias("key"))
-    found = None
-    for level in range(2, COLLECTIONS + 1):
-        shared, stars = _stars(members)
-        tried = cut(fitting(stars))
-        new = cut(confirm(tried, docs, percent))
-        found = new if found is None else found.unionByName(new)
-        comps = connected_components(found)
-        placed = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        spread = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
-        open_rows = cut(placed.join(spread, "key"))
-        last = level == COLLECTIONS
-        few = open_rows if last else open_rows.filter(F.col("n") <= small)
-        x = few.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        y = few.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        rest = x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        found = cut(found.unionByName(confirm(fitting(rest), docs, percent)))
-        if last:
-            return found
-        many = open_rows.filter(F.col("n") > small).select("key", "rep")
-        if many.isEmpty():
-            return found
-        more = classes.select("rep", F.col(f"c{level}").alias("sub"))
-        members = many.join(more, "rep").select("rep", F.posexplode("sub").alias("k", "s"), "key").select("rep", F.xxhash64("key", "k", "s").alias("key"))
-    return found
-
-
-def near_duplicates(df: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
+    members = classes.filter("n_shingles > 0").select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode(table).alias("slot", "key"))
+    heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail").select("key", "head")
+    shared = cut(members.join(heads, "key"))
+
+    # stars
+    sizes = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
+    stars = shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"), "n").distinct()
+    stars = cut(stars.join(sizes, "a").filter(could("n", "na")).select("a", "b"))
+    star = cut(measure(stars, docs, percent))
+    found = star.filter("linked").select("a", "b")
+    comps = connected_components(found)
+
+    # keys that still hold several components
+    d = star.select(F.col("a").alias("head"), F.col("b").alias("rep"), "distance")
+    rows = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("home")).filter("lo <> hi").select("key", "home")
+    short = classes.select("rep", *[F.transform(c, lambda x: F.hash(x)).alias(c) for c in ("c0", "c1")])
+    rest = rows.join(spread, "key").filter("rep <> head").join(d, ["head", "rep"], "left").join(short, "rep")
+    rest = cut(rest.select("key", "slot", "rep", "n", "comp", "home", "distance", "c0", "c1"))
+    x = rest.filter("comp <> home").select("key", "slot", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "distance", "c0", "c1")])
+    y = rest.select("key", "home", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "comp", "distance", "c0", "c1")])
+    once = (F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep"))
+    near = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= most + 1e-9, F.lit(True))
+
+    def first_common(c: str):
+        return F.array_position(F.zip_with(f"x_{c}", f"y_{c}", lambda p, q: p == q), True) - 1
+
+    here = (first_common("c0") == F.floor(F.col("slot") / HALVES)) & (first_common("c1") == F.col("slot") % HALVES)
+    pairs = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & here)
+    pairs = cut(pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
+    more = measure(pairs, docs, percent).filter("linked").select("a", "b")
+    return cut(found.unionByName(more))
+
+
+def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `df` (doc_id, text)."""
     docs = df.select("doc_id", "text")
     signed = cut(signatures(docs))
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(f"c{k}").alias(f"c{k}") for k in range(COLLECTIONS)])
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(f"c{k}").alias(f"c{k}") for k in range(2)])
     classes = cut(classes)
-    comps = connected_components(links(classes, docs, percent, small)).withColumnRenamed("id", "rep")
+    comps = connected_components(links(classes, docs, percent)).withColumnRenamed("id", "rep")
     of_class = cut(classes.select("set_id", "rep").join(comps, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp")))
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))

@@ -46,9 +46,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
-    """Whether 100 * intersection >= percent * union, on sorted distinct sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of sorted distinct sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common, len(both) - common
