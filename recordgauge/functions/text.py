@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordgauge.functions.fields import DENSE_MARKS, SPARSE_MARKS
@@ -17,18 +17,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
-def collapse_ws(c: Column) -> Column:
+def collapse_ws(c: Column | str) -> Column:
     """T-1."""
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def strip_outer_quotes(c: Column, depth: int = 4) -> Column:
-    """T-2: up to `depth` nested pairs."""
+    """T-2: up to `depth` nested pairs. Each step names its input once, so that the expression stays small."""
+    pairs = "|".join(f"{a}(.*){b}" for a, b in QUOTES)
     c = strip(c)
     for _ in range(depth):
-        for a, b in QUOTES:
-            paired = c.startswith(a) & c.endswith(b) & (F.char_length(c) >= 2)
-            c = F.when(paired, strip(F.substring(c, F.lit(2), F.char_length(c) - 2))).otherwise(c)
+        c = strip(F.regexp_replace(c, rf"(?s)\A(?:{pairs})\z", "".join(f"${k + 1}" for k in range(len(QUOTES)))))
     return c
 
 
@@ -83,27 +82,34 @@ def token_position(text: Column, value: Column, ignore_case: bool = False) -> Co
     return F.regexp_instr(text, token_pattern(value, ignore_case))
 
 
-def match_ladder(text: Column, value: Column) -> dict[str, Column]:
-    """T-11: how the value occurs in the text (the first rung that holds), and where (0-based, null if unknown)."""
-    text, val = F.coalesce(text, F.lit("")), clean_id(value)
-    flat, small, bare, digits = collapse_ws(text), compact(val), strip_id_prefix(val), digits_only(val)
-    short = strip_leading_zeros(digits)
+def match_ladder(df: DataFrame, text: str, value: str) -> DataFrame:
+    """T-11: `df` with `id_clean`, `matched_by` (the first rung that holds) and the span (0-based, null if unknown).
+
+    The steps are columns of their own, so that each is computed once."""
+    df = df.withColumns({"__text": F.coalesce(F.col(text), F.lit("")), "id_clean": clean_id(F.col(value))})
+    df = df.withColumns({"__flat": collapse_ws("__text"), "__small": compact(F.col("id_clean")), "__bare": strip_id_prefix(F.col("id_clean")), "__digits": digits_only(F.col("id_clean"))})
+    df = df.withColumns({"__short": strip_leading_zeros(F.col("__digits")), "__tight": compact(F.col("__text"))})
+    t, val, flat, bare = F.col("__text"), F.col("id_clean"), F.col("__flat"), F.col("__bare")
+    digits, short, some = F.col("__digits"), F.col("__short"), F.col("id_clean") != ""
     rungs = [
-        ("strict_token", token_position(text, val), val, True),
-        ("strict_ws_token", token_position(flat, collapse_ws(val)), collapse_ws(val), True),
-        ("relaxed_casefold", token_position(text, val, True), val, True),
-        ("relaxed_compact", F.when(small != "", token_position(compact(text), small, True)).otherwise(0), small, False),
-        ("relaxed_prefix_stripped", F.when((bare != "") & (bare != val), F.greatest(token_position(text, bare, True), token_position(flat, bare, True))).otherwise(0), bare, True),
-        ("relaxed_digits", F.when(digits != "", token_position(text, digits)).otherwise(0), digits, True),
-        ("relaxed_digits_no_zeros", F.when((short != "") & (short != digits), token_position(text, short)).otherwise(0), short, True),
+        ("strict_token", some, token_position(t, val), val),
+        ("strict_ws_token", some, token_position(flat, val), val),
+        ("relaxed_casefold", some, token_position(t, val, True), val),
+        ("relaxed_compact", some & (F.col("__small") != ""), token_position(F.col("__tight"), F.col("__small"), True), None),
+        ("relaxed_prefix_stripped", some & (bare != "") & (bare != val), F.greatest(token_position(t, bare, True), token_position(flat, bare, True)), bare),
+        ("relaxed_digits", some & (digits != ""), token_position(t, digits), digits),
+        ("relaxed_digits_no_zeros", some & (short != "") & (short != digits), token_position(t, short), short),
     ]
-    name, start, end = F.lit("none"), F.lit(None).cast("int"), F.lit(None).cast("int")
-    for rung, at, found, spanned in reversed(rungs):
-        hit = (val != "") & (at > 0)
-        name = F.when(hit, rung).otherwise(name)
-        start = F.when(hit, at - 1 if spanned else F.lit(None)).otherwise(start)
-        end = F.when(hit, at - 1 + F.char_length(found) if spanned else F.lit(None)).otherwise(end)
-    return {"matched_by": name, "span_start": start, "span_end": end}
+    found = F.lit(None).cast("struct<matched_by:string,span_start:int,span_end:int>")
+    for rung, holds, at, what in reversed(rungs):
+        none = F.lit(None).cast("int")
+        start = at - 1 if what is not None else none
+        end = at - 1 + F.char_length(what) if what is not None else none
+        hit = F.struct(F.lit(rung).alias("matched_by"), start.alias("span_start"), end.alias("span_end"))
+        found = F.when(holds & (at > 0), hit).otherwise(found)
+    df = df.withColumn("__found", found)
+    out = df.withColumns({"matched_by": F.coalesce("__found.matched_by", F.lit("none")), "span_start": F.col("__found.span_start"), "span_end": F.col("__found.span_end")})
+    return out.drop("__text", "__flat", "__small", "__bare", "__digits", "__short", "__tight", "__found")
 
 
 def context_excerpt(text: Column, start: Column, end: Column, width: int = 120) -> Column:

@@ -19,11 +19,24 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def as_long(sql: str) -> str:
+    """The SQL with each count_if(...) cast to BIGINT: DuckDB counts conditions in HUGEINT."""
+    out, at = [], 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        end, depth = k + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(f"{sql[at:k]}CAST({sql[k:end]} AS BIGINT)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = as_long(sql)
         return f
 
     return add
@@ -73,7 +86,7 @@ def null_prune_counts(spark: SparkSession, d: str) -> DataFrame:
       CASE WHEN length(a[-1]) = 2 THEN CASE WHEN CAST(a[-1] AS INT) <= 68 THEN 2000 ELSE 1900 END + CAST(a[-1] AS INT) ELSE CAST(a[-1] AS INT) END AS y,
       CASE WHEN len(a) > 1 THEN CAST(a[1] AS INT) END AS m, CASE WHEN len(a) = 3 THEN CAST(a[2] AS INT) END AS d FROM p),
     g AS (SELECT *, precision <> 'day' OR try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) IS NOT NULL AS good FROM k)
-    SELECT CASE WHEN good THEN precision ELSE 'none' END AS precision, count(*) AS n, CAST(sum(CASE WHEN good THEN y END) AS BIGINT) AS sum_y, CAST(sum(CASE WHEN good THEN m END) AS BIGINT) AS sum_m, CAST(sum(CASE WHEN good THEN d END) AS BIGINT) AS sum_d
+    SELECT CASE WHEN good THEN precision ELSE 'none' END AS precision, count(*) AS n, CAST(coalesce(sum(CASE WHEN good THEN y END), 0) AS BIGINT) AS sum_y, CAST(coalesce(sum(CASE WHEN good THEN m END), 0) AS BIGINT) AS sum_m, CAST(coalesce(sum(CASE WHEN good THEN d END), 0) AS BIGINT) AS sum_d
     FROM g GROUP BY 1""",
 )
 def date_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +95,7 @@ def date_keys(spark: SparkSession, d: str) -> DataFrame:
     year = F.date_format(o, "yyyy")
     s = F.when(k == 0, F.date_format(o, "M/d/yy")).when(k == 1, F.date_format(o, "MM/dd/yyyy")).when(k == 2, F.date_format(o, "M/yyyy")).when(k == 3, year).when(k == 4, F.concat(F.lit("2/29/"), year)).otherwise(F.concat(F.lit("13/1/"), year))
     keys = table(spark, d, "orders").select(s.alias("s")).select(dates.date_key(F.col("s")).alias("k"))
-    return keys.groupBy(F.coalesce("k.precision", F.lit("none")).alias("precision")).agg(F.count("*").alias("n"), F.sum("k.y").alias("sum_y"), F.sum("k.m").alias("sum_m"), F.sum("k.d").alias("sum_d"))
+    return keys.groupBy(F.coalesce("k.precision", F.lit("none")).alias("precision")).agg(F.count("*").alias("n"), F.coalesce(F.sum("k.y"), F.lit(0)).alias("sum_y"), F.coalesce(F.sum("k.m"), F.lit(0)).alias("sum_m"), F.coalesce(F.sum("k.d"), F.lit(0)).alias("sum_d"))
 
 
 def arms(spark: SparkSession, d: str) -> DataFrame:
@@ -537,13 +550,12 @@ def ladder(spark: SparkSession, d: str) -> DataFrame:
     "id_presence_ladder",
     """WITH k AS (SELECT page_id, page_id % 8 AS k, regexp_extract(url, '/([0-9]+)', 1) AS n FROM pages),
     m AS (SELECT *, CASE k WHEN 0 THEN 'strict_token' WHEN 1 THEN 'strict_ws_token' WHEN 2 THEN 'relaxed_casefold' WHEN 3 THEN 'relaxed_compact' WHEN 4 THEN 'relaxed_prefix_stripped' WHEN 5 THEN 'relaxed_digits' WHEN 6 THEN 'relaxed_digits_no_zeros' ELSE 'none' END AS matched_by FROM k)
-    SELECT page_id, CASE WHEN k = 0 THEN 'numeric' WHEN k IN (2, 5, 6) THEN 'alphanumeric' WHEN k = 7 THEN 'empty' ELSE 'other' END AS id_format, matched_by, CAST(CASE WHEN k IN (3, 7) THEN NULL ELSE 2 END AS INT) AS span_start FROM m""",
+    SELECT page_id, CASE WHEN k = 0 THEN 'numeric' WHEN k IN (2, 5, 6) THEN 'alphanumeric' WHEN k = 7 THEN 'empty' ELSE 'other' END AS id_format, matched_by, CAST(CASE WHEN k IN (3, 7) THEN -1 ELSE 2 END AS INT) AS span_start FROM m""",
 )
 def id_presence_ladder(spark: SparkSession, d: str) -> DataFrame:
     """T-1 to T-12: the first rung on which an id occurs in a text."""
-    x = ladder(spark, d)
-    rung = text.match_ladder(F.col("text"), F.col("value"))
-    return x.select("page_id", text.id_format(text.clean_id(F.col("value"))).alias("id_format"), rung["matched_by"].alias("matched_by"), rung["span_start"].cast("int").alias("span_start"))
+    x = text.match_ladder(ladder(spark, d), "text", "value")
+    return x.select("page_id", text.id_format(F.col("id_clean")).alias("id_format"), "matched_by", F.coalesce("span_start", F.lit(-1)).cast("int").alias("span_start"))
 
 
 @register(
@@ -553,7 +565,8 @@ def id_presence_ladder(spark: SparkSession, d: str) -> DataFrame:
 )
 def presence_summary(spark: SparkSession, d: str) -> DataFrame:
     """Presence by file."""
-    x = ladder(spark, d).select((F.col("page_id") % 3).alias("file"), text.id_format(text.clean_id(F.col("value"))).alias("id_format"), text.match_ladder(F.col("text"), F.col("value"))["matched_by"].alias("matched_by"))
+    x = text.match_ladder(ladder(spark, d), "text", "value")
+    x = x.select((F.col("page_id") % 3).alias("file"), text.id_format(F.col("id_clean")).alias("id_format"), "matched_by")
     return metrics.presence_summary(x, ["file"]).select("file", "total_occurrences", "strict_present_n", "strict_present_pct", "strict_plus_ws_n", "relaxed_only_n", "any_present_n", "alphanumeric_n")
 
 
@@ -582,11 +595,11 @@ def runaway_suffix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.runaway_suffix(t).alias("runaway"))
 
 
-@register("first_difference", """SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 OR text = '' THEN CASE WHEN turn % 2 = 0 THEN NULL ELSE 0 END ELSE length(text) END AS at FROM conversations""")
+@register("first_difference", """SELECT conv_id, turn, role, CAST(CASE WHEN turn % 2 = 0 THEN -1 ELSE length(text) END AS BIGINT) AS at FROM conversations""")
 def first_difference(spark: SparkSession, d: str) -> DataFrame:
     """T-16: where two texts begin to differ."""
     other = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("+")))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", text.first_difference(F.col("text"), other).cast("long").alias("at"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(text.first_difference(F.col("text"), other), F.lit(-1)).cast("long").alias("at"))
 
 
 # --- audits -----------------------------------------------------------------------------
