@@ -10,9 +10,10 @@ copies are never paired. Within a table key each class is first compared with th
 its key only (a star), and confirmed stars are contracted to components: groups of near
 copies are settled by that, whatever their size. What stays are keys over several
 components. There, classes outside the component of the key's head are compared with those
-of other components, unless sizes or the triangle inequality of the Jaccard distance, with
-the measured distances to the head, prove that they can't be similar enough. A pair that
-shares several keys is compared at the first of them only. Nothing is capped or sampled; the
+of other components, unless one of three bounds proves that they can't be similar enough:
+the sizes; the triangle inequality of the Jaccard distance, with the measured distances to
+the head; parity sketches of SKETCH bits, which differ in no more bits than the sets do in
+shingles. A pair that shares several keys is compared at the first of them only. Nothing is capped or sampled; the
 comparisons that stay grow with (classes outside the head's component) x (classes of the
 key), which is many only where many documents lie just below the similarity.
 
@@ -27,8 +28,11 @@ component; other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +41,8 @@ from recordgauge.llm.shingles import constants, mix, overlap, shingle_set
 from recordgauge.session import cut
 
 HALVES, PER_HALF, PERCENT = 10, 2, 75
+#: Bits of a parity sketch: bounds sets up to some SKETCH shingles well, longer ones less.
+SKETCH = 1024
 #: Up to so many ids of candidates (8 bytes each) are broadcast, so that only their texts are shuffled.
 FEW_IDS = 500_000
 
@@ -88,11 +94,34 @@ def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
+def few(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of `ids` (column doc_id), by a broadcast if those are counted to be few."""
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(rep, sketch): the parity of the number of shingles in each of SKETCH buckets, as longs."""
+    schema = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                bits = np.bincount((shingle_set(t) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                out.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["rep", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def measure(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, distance, linked) of each of `pairs`, from the documents' full sets."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    docs = few(docs, ids)
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -146,18 +175,23 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     rows = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("home")).filter("lo <> hi").select("key", "home")
     short = classes.select("rep", *[F.transform(c, lambda x: F.hash(x)).alias(c) for c in ("c0", "c1")])
-    rest = rows.join(spread, "key").filter("rep <> head").join(d, ["head", "rep"], "left").join(short, "rep")
-    rest = cut(rest.select("key", "slot", "rep", "n", "comp", "home", "distance", "c0", "c1"))
-    x = rest.filter("comp <> home").select("key", "slot", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "distance", "c0", "c1")])
-    y = rest.select("key", "home", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "comp", "distance", "c0", "c1")])
+    rest = rows.join(spread, "key").filter("rep <> head").join(d, ["head", "rep"], "left")
+    rest = cut(rest.select("key", "slot", "rep", "n", "comp", "home", "distance"))
+    own = cut(sketches(few(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()))).join(short, "rep"))
+    rest = rest.join(own, "rep")
+    x = rest.filter("comp <> home").select("key", "slot", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
+    y = rest.select("key", "home", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
     once = (F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep"))
     near = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= most + 1e-9, F.lit(True))
+    differ = reduce(add, [F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH // 64)])
+    n = F.col("x_n") + F.col("y_n")
+    alike = (100 + percent) * differ <= (100 - percent) * n  # else n - differ < percent % of n + differ
 
-    def first_common(c: str):
-        return F.array_position(F.zip_with(f"x_{c}", f"y_{c}", lambda p, q: p == q), True) - 1
+    def first_common(c: str, at: Column) -> Column:
+        return reduce(and_, [(at <= k) | (F.col(f"x_{c}")[k] != F.col(f"y_{c}")[k]) for k in range(HALVES)])
 
-    here = (first_common("c0") == F.floor(F.col("slot") / HALVES)) & (first_common("c1") == F.col("slot") % HALVES)
-    pairs = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & here)
+    here = first_common("c0", F.floor(F.col("slot") / HALVES)) & first_common("c1", F.col("slot") % HALVES)
+    pairs = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & alike & here)
     pairs = cut(pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
     more = measure(pairs, docs, percent).filter("linked").select("a", "b")
     return cut(found.unionByName(more))
