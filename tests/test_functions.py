@@ -46,7 +46,7 @@ def test_equality(spark):
 
 def test_id_text(spark):
     raw = ["  'Ab 12.' ", "“007”", "[x-1]", None, "Image_ID: 5", "img #5"]
-    assert column(values(spark, raw), text.clean_id(F.col("v"))) == ["Ab 12.", "007", "x-1", "", "Image_ID: 5", "img #5"]
+    assert column(values(spark, raw), text.clean_id(F.col("v"))) == ["Ab 12", "007", "x-1", "", "Image_ID: 5", "img #5"]
     assert column(values(spark, ["", "12", "a1", "abc", "1 2"]), text.id_format(F.col("v"))) == ["empty", "numeric", "alphanumeric", "other", "other"]
     assert column(values(spark, ["000", "0120", "0", "a0"]), text.strip_leading_zeros(F.col("v"))) == ["0", "120", "0", "a0"]
     assert column(values(spark, ["img #5", "series-7", "x"]), text.strip_id_prefix(F.col("v"))) == ["5", "7", "x"]
@@ -152,3 +152,13 @@ def test_slots(spark):
         slots.dense_template(-1)
     got = column(values(spark, ["left", "null", "Left", None]), slots.slot_complete("lung", F.col("v")))
     assert got == [True, True, False, None]
+
+
+def test_sql_registry(spark):
+    from recordgauge.functions import registry
+
+    names = registry.register(spark)
+    got = spark.sql("""SELECT semantic_is_null(' None '), semantic_is_null('0'), full_year(22), f1_of(0D, 0D, 0D), numbers_equal(1D, 1.005D), normalize_record('x {"Series ID": "7", "b": ""}'), parse_object('no')""").first()
+    assert list(got) == [True, False, 2022, 0.0, True, '{"Series ID":7}', None]
+    rows = spark.sql("""SELECT path FROM iter_records('{"Nodules": [{"a": 1}, {"a": 2}]}')""").collect()
+    assert [r.path for r in rows] == ["$.Nodules[0]", "$.Nodules[1]"] and "iter_records" in names
