@@ -171,6 +171,8 @@ class Page:
 
     def decode(self, logp: np.ndarray) -> list[int]:
         """The likeliest states, children of B being B and children of A being A or B."""
+        if len(self.tag) == 1:  # no element at all: plain text
+            return [ARTICLE]
         score = logp.copy()
         for i in range(len(self.tag) - 1, 0, -1):
             a, b, m = score[i]
