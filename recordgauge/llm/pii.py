@@ -73,7 +73,7 @@ def valid(kind: Column, value: Column) -> Column:
     digits = F.translate(value, " -().+", "")
     n = F.char_length(digits)
     card = F.when(n.between(16, 19), luhn(digits)).otherwise(False)
-    return F.when(kind == 0, True).when(kind == 1, value.rlike(rf"\A{PART}\.{PART}\.{PART}\.{PART}\z")).when(kind == 2, card).when(kind == 3, n.between(8, 15)).otherwise(False)
+    return F.when(value.isNull(), False).when(kind == 0, True).when(kind == 1, value.rlike(rf"\A{PART}\.{PART}\.{PART}\.{PART}\z")).when(kind == 2, card).when(kind == 3, n.between(8, 15)).otherwise(False)
 
 
 def word(text: Column, pattern: str, group: int = 1) -> Column:
