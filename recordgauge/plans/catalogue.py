@@ -867,7 +867,7 @@ def bootstrap_matrix(spark: SparkSession, d: str) -> DataFrame:
 )
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Twenty rows, round-robin over strata (the limit is the operator's)."""
-    return bootstrap.stratified_sample(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 20).select("doc_id", "lang", "source", "round")
+    return bootstrap.stratified_sample(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 20).select("doc_id", "lang", "source", F.col("round").cast("long").alias("round"))
 
 
 @register(
