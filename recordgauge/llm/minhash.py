@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordgauge.llm.components import connected_components
-from recordgauge.llm.shingles import constants, mix, overlap, shingle_set
+from recordgauge.llm.shingles import constants, mix, overlap, shingle_set, slices
 from recordgauge.session import cut
 
 HALVES, PER_HALF, PERCENT = 10, 2, 75
@@ -80,7 +80,7 @@ def signatures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
         total = 2 * sum(_SIZES)
         a, b = constants(total, 21), constants(total, 22)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, subs = [], [], [[] for _ in _SIZES]
             for t in batch.column(text).to_pylist():
                 found = shingle_set(t)
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 bits = np.bincount((shingle_set(t) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
@@ -140,7 +140,7 @@ def measure(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                 got = seen[text] = shingle_set(text)
             return got
 
-        for batch in batches:
+        for batch in slices(batches):
             x = [overlap(of(p), of(q)) for p, q in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
             distance, linked = [1 - i / u if u else 1.0 for i, u in x], [bool(i) and 100 * i >= percent * u for i, u in x]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=schema.names)

@@ -19,6 +19,13 @@ def constants(n: int, seed: int) -> np.ndarray:
 PLACE = constants(WORDS, 11)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to few rows, so that few texts at a time become Python strings."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
