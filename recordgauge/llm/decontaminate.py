@@ -1,20 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: a lossless word-pair filter, then exact edit distance.
 
 Texts are sequences of lower-cased words (runs of letters, digits and underscores), so case,
 punctuation and spacing do not matter. A document holds a benchmark item if some window of
 its words is within EDIT_RATE * n word edits of the item's n words.
 
-For an item of n words, every window of n words is a candidate. Both are embedded by a
-random walk (CGK): at step t the walk copies the word it stands on and moves on by a random
-bit of (t, word), so that few edits give a small Hamming distance. Each of R repetitions has
-its own random bits and samples K of the 2n first steps; items and windows of one size that
-agree on all K collide. R follows from the target recall, K and the share of steps that
-stay equal at the edit limit (measured: at least MATCH). Collisions are verified by an exact
-edit distance over the words, the window's end left free within the limit.
+An inverted index of the items' word pairs gives the items that share pairs with a text.
+k word edits break at most 2k of an item's distinct word pairs, so a matching window holds
+all but that many of them within n + k words; items for which no stretch of the text does
+are set aside, without loss. Items of so few distinct pairs that this says nothing go by
+words: a matching window holds n - k words of the item within n + k.
 
-Before embedding, windows that cannot lie within the edit limit are set aside, without loss:
-k word edits break at most 2k of an item's distinct word pairs, so a window needs all but
-that many distinct pairs that occur in items of its size.
+What is left is checked by an exact edit distance over the words, bit-parallel, first over
+whole stretches (start and end free), then for each start of those that hold the item. No
+step samples: recall is 1 at any length, by construction. Of an item's windows the one of
+least distance is reported, the first of equals.
 
 Scale: the benchmark is a stated query set and is read in blocks of ITEM_BLOCK items; the
 documents pass by once a block, in one Arrow pass without any shuffle, whole texts, and
@@ -27,7 +26,6 @@ items are reported each; other columns pass through `decontaminate`.
 
 from __future__ import annotations
 
-import math
 import re
 from itertools import islice
 
@@ -35,10 +33,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recordgauge.llm.shingles import constants, mix
+from recordgauge.llm.shingles import mix
 
 EDIT_RATE, MIN_WORDS = 0.2, 9
-SAMPLES, RECALL, MATCH = 3, 0.995, 0.55
 ITEM_BLOCK = 20_000
 WORD = re.compile(r"\w+")
 HITS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("distance", T.IntegerType())])
@@ -51,10 +48,6 @@ def words(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
-def repetitions(samples: int = SAMPLES, recall: float = RECALL, match: float = MATCH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - match**samples))
-
-
 def limit(n: int, rate: float = EDIT_RATE) -> int:
     return int(rate * n) if n >= MIN_WORDS else 0
 
@@ -63,11 +56,11 @@ def pair_hashes(w: np.ndarray) -> np.ndarray:
     return mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
 
 
-def edit_distance(a: list[int], b: list[int], k: int) -> int:
+def edit_distance(a: list[int], b: list[int], k: int, anywhere: bool = False) -> int:
     """Least word edits between a and a prefix of b of len(a) - k words or more; k + 1 if over k.
 
-    Bit-parallel over the words of a."""
-    n = len(a)
+    With `anywhere`, between a and any window of b. Bit-parallel over the words of a."""
+    n, free = len(a), 0 if anywhere else 1
     if a == b[:n]:
         return 0
     where: dict[int, int] = {}
@@ -82,7 +75,7 @@ def edit_distance(a: list[int], b: list[int], k: int) -> int:
         across = (((same & up) + up) ^ up) | same
         plus, minus = down | (full & ~(across | up)), up & across
         score += bool(plus & top) - bool(minus & top)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        plus, minus = (plus << 1 | free) & full, minus << 1 & full
         up, down = minus | (full & ~(vert | plus)), plus & vert
         if j >= n - k and score < best:
             best = score
@@ -90,65 +83,33 @@ def edit_distance(a: list[int], b: list[int], k: int) -> int:
 
 
 class Index:
-    """The items of one block by size, with their word pairs and LSH keys."""
+    """The items of one block with an inverted index of their word pairs."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.reps, self.items, sizes = repetitions(), [], {}
-        for item, text in items:
-            w = words(text)
-            if len(w):
-                sizes.setdefault(len(w), []).append(len(self.items))
-                self.items.append((item, w))
-        self.sizes, pairs, owners = {}, [], []
-        for n, members in sizes.items():
-            tables: list[dict[int, list[int]]] = [{} for _ in range(self.reps)]
-            joined = np.concatenate([self.items[k][1] for k in members])
-            for r, row in enumerate(self.keys(joined, np.arange(len(members)) * n, n).tolist()):
-                for k, key in zip(members, row, strict=True):
-                    tables[r].setdefault(key, []).append(k)
-            own = [np.unique(pair_hashes(self.items[k][1])) for k in members]
-            self.sizes[n] = (max(0, min(map(len, own)) - 2 * limit(n)), tables)
-            pairs += own
-            owners += [np.full(len(p), k) for k, p in zip(members, own, strict=True)]
-        pairs = np.concatenate(pairs) if pairs else np.empty(0, dtype=np.uint64)
-        owners = np.concatenate(owners) if owners else np.empty(0, dtype=np.int64)
+        found = [(item, words(text)) for item, text in items]
+        self.items = [(item, w) for item, w in found if len(w)]
+        own = [np.unique(pair_hashes(w)) for _, w in self.items]
+        #: Distinct pairs that a window of each item must hold; 0 or less: none need be held.
+        self.need = np.array([len(p) - 2 * limit(len(w)) for p, (_, w) in zip(own, self.items, strict=True)], dtype=np.int64)
+        self.length = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        #: Words in the longest matching window.
+        self.reach = self.length + np.array([limit(n) for n in self.length.tolist()], dtype=np.int64)
+        #: Items of few distinct pairs, with their distinct words.
+        self.plain = [(k, np.unique(self.items[k][1])) for k in np.flatnonzero(self.need <= 0).tolist()]
+        pairs = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
+        owners = np.repeat(np.arange(len(own)), [len(p) for p in own])
         order = np.argsort(pairs, kind="stable")
         self.owners = owners[order]
         self.pairs, self.first = np.unique(pairs[order], return_index=True)
         self.ends = np.append(self.first[1:], len(pairs))
-        self.length = np.array([len(w) for _, w in self.items], dtype=np.int64)
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def keys(self, w: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """(reps, len(starts)) LSH keys of the n-word windows of w at `starts`."""
-        steps, reps = 2 * n, self.reps
-        made = self.__dict__.setdefault("walks", {})
-        if n not in made:
-            chosen = np.random.default_rng(n).random((reps, steps)).argsort(axis=1)[:, :SAMPLES]
-            taken = np.zeros((steps, reps), dtype=bool)
-            taken[chosen.ravel(), np.repeat(np.arange(reps), SAMPLES)] = True
-            made[n] = (constants(reps * steps, 1000 + n).reshape(steps, reps, 1), taken, taken.any(axis=1))
-        bits, taken, any_taken = made[n]
-        padded = np.append(w, np.zeros(n + 1, dtype=np.uint64))
-        at, end = np.tile(starts, (reps, 1)), starts + n
-        key = np.full((reps, len(starts)), np.uint64(n))
-        for t in range(steps):
-            word = padded[at]
-            inside = at < end
-            word *= inside
-            if any_taken[t]:
-                rows = taken[t]
-                key[rows] = mix(key[rows] * np.uint64(0x9E3779B97F4A7C15) + word[rows])
-            at += ((word * bits[t] >> np.uint64(47)) & np.uint64(1)).astype(np.int64) * inside
-        return key
-
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the word pairs that items hold, and the items: one row for each."""
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the word pairs `h` that items hold, and the items: one row for each."""
         none = np.empty(0, dtype=np.int64)
-        if len(w) < 2 or not len(self.pairs):
+        if not len(h) or not len(self.pairs):
             return none, none
-        h = pair_hashes(w)
         near = np.flatnonzero(self.bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         k = np.searchsorted(self.pairs, h[near])
         hit = self.pairs[np.minimum(k, len(self.pairs) - 1)] == h[near]
@@ -157,55 +118,84 @@ class Index:
         at = np.repeat(near, counts)
         return at, self.owners[np.repeat(self.first[k] - np.cumsum(counts) + counts, counts) + np.arange(len(at))]
 
-    def starts(self, at: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
-        """Starts of windows that hold enough distinct pairs of those at `at`, those with most first."""
-        need, own, size = self.sizes[n][0], np.unique(at), len(w)
-        if need == 0:
-            return np.arange(max(0, size - n + 1))
-        if len(own) < need:
-            return own[:0]
+    def near(self, h: np.ndarray):
+        """(item, positions of its pairs): each item that a stretch of the pairs `h` may hold by their number."""
+        at, of = self.hits(h)
+        some = np.bincount(of, minlength=len(self.items)) >= np.maximum(self.need, 1)
+        keep = some[of] & (self.need[of] > 0)
+        at, of = at[keep], of[keep]
+        order = np.argsort(of, kind="stable")
+        at, of = at[order], of[order]
+        last = np.arange(len(of)) + self.need[of] - 1
+        inside = np.minimum(last, len(of) - 1)
+        close = (last < len(of)) & (of[inside] == of) & (at[inside] - at < self.reach[of] - 1)
+        for k in np.unique(of[close]).tolist():
+            yield k, at[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]
+
+    def starts(self, own: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
+        """Starts of windows that hold enough of item k's distinct pairs, which are at `own`."""
         # a pair counts for the windows that hold it and not an earlier one of its kind
-        span, value = n - 1 + limit(n), pair_hashes(w)[own]
+        span, value = self.reach[k] - 1, h[own]
         order = np.lexsort((own, value))
         before = np.full(len(own), -1)
         same = value[order[1:]] == value[order[:-1]]
         before[order[1:][same]] = own[order[:-1][same]]
-        step = np.zeros(size + 1, dtype=np.int64)
+        step = np.zeros(len(h) + 1, dtype=np.int64)
         np.add.at(step, np.maximum(before + 1, np.maximum(own - span + 1, 0)), 1)
         np.add.at(step, own + 1, -1)
-        count = np.cumsum(step)
-        p = np.flatnonzero(count >= need)
-        return p[np.lexsort((p, -count[p]))]
+        return np.flatnonzero(np.cumsum(step) >= self.need[k])
+
+    def worded(self, w: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+        """Starts of windows that hold enough words of item k, whose distinct words are `own`."""
+        total = np.concatenate([[0], np.cumsum(np.isin(w, own))])
+        p = np.arange(len(w))
+        return np.flatnonzero(total[np.minimum(p + self.reach[k], len(w))] - total[p] >= 2 * self.length[k] - self.reach[k])
+
+    def best(self, w: np.ndarray, starts: np.ndarray, k: int, first_only: bool) -> tuple[int, int, int] | None:
+        """(first word, words, distance) of item k's nearest window at `starts`, or of none within the limit."""
+        item, reach, best = self.items[k][1].tolist(), int(self.reach[k]), None
+        n = len(item)
+        allowed = reach - n
+        # starts whose windows overlap make one stretch, which is ruled out in one pass
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > reach) + 1):
+            low = int(part[0])
+            stretch = w[low : int(part[-1]) + reach].tolist()
+            least = edit_distance(item, stretch, allowed, anywhere=True)
+            if least > allowed or best and least >= best[2]:
+                continue
+            if first_only:
+                return low, n, least
+            for start in part.tolist():
+                d = edit_distance(item, stretch[start - low : start - low + reach], allowed)
+                if d <= allowed and (best is None or d < best[2]):
+                    best = (start, n, d)
+                    if d == least:
+                        break
+            if best and best[2] == 0:
+                break
+        return best
 
     def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, int]]:
-        """(item, first word, words, distance) of each item that the text holds."""
-        w, best = words(text), {}
-        at, of = self.hits(w)
-        sizes = {n for n, (need, _) in self.sizes.items() if need == 0}
-        if len(at):
-            near, count = np.unique(self.length[of], return_counts=True)
-            sizes |= {n for n, c in zip(near.tolist(), count.tolist(), strict=True) if c >= self.sizes[n][0]}
-        for n in sorted(sizes):
-            k, tables, own = limit(n), self.sizes[n][1], self.length[of] == n
-            left, done = self.starts(at[own], n, w), set()
-            while len(left):
-                found = False
-                part, left = left[:8], left[8:]
-                for r, row in enumerate(self.keys(w, part, n).tolist()):
-                    for start, key in zip(part.tolist(), row, strict=True):
-                        for item in tables[r].get(key, ()):
-                            if item in best or (item, start) in done:
-                                continue
-                            done.add((item, start))
-                            d = edit_distance(self.items[item][1].tolist(), w[start : start + n + k].tolist(), k)
-                            if d <= k:
-                                best[item], found = (start, n, d), True
-                                own &= of != item
-                                if first_only:
-                                    return [(self.items[item][0], *best[item])]
-                if found and self.sizes[n][0]:  # the found items' own pairs count no more
-                    left = np.intersect1d(left, self.starts(at[own], n, w), assume_unique=True)
-        return sorted((self.items[i][0], *m) for i, m in best.items())
+        """(item, first word, words, distance) of each item that the text holds; with `first_only`
+        of one, whose place is that of the stretch."""
+        w, out = words(text), []
+        if not len(w) or not self.items:
+            return out
+        h = pair_hashes(w)
+
+        def likely():
+            for k, own in self.near(h):
+                yield k, self.starts(own, k, h)
+            for k, own in self.plain:
+                yield k, self.worded(w, k, own)
+
+        for k, starts in likely():
+            found = self.best(w, starts, k, first_only) if len(starts) else None
+            if found:
+                out.append((self.items[k][0], *found))
+                if first_only:
+                    break
+        return sorted(out)
 
 
 def blocks(benchmark: DataFrame, size: int = ITEM_BLOCK):

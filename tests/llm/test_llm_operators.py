@@ -275,6 +275,44 @@ def test_edit_distance_by_brute_force():
         assert decontaminate.edit_distance(a, b, k) == plain(a, b, k), (a, b, k)
 
 
+def test_decontamination_at_the_limit():
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    for n in (9, 20, 40, 60, 100):
+        items = [(k, " ".join(say(n))) for k in range(30)]
+        index, allowed = decontaminate.Index(items), decontaminate.limit(n)
+        for k, t in items:
+            for kind in ("substitute", "delete", "insert"):
+                w = t.split()
+                for at in sorted(r.sample(range(n), allowed), reverse=True):
+                    w[at : at + (kind != "insert")] = [] if kind == "delete" else ["zzz"]
+                text = say(40) + w + say(40)
+                got = {m[0]: m[3] for m in index.matches(" ".join(text))}
+                assert got.get(k, n) <= allowed and index.matches(" ".join(text), True), (n, kind)
+
+
+def test_decontamination_by_brute_force():
+    r = random.Random(9)
+    for _ in range(400):
+        few = "abcdefghijklmnop"[: r.choice([1, 2, 3, 16])]
+        items = [(k, " ".join(r.choice(few) for _ in range(r.randint(1, 16)))) for k in range(4)]
+        t = [r.choice(few + "z") for _ in range(r.randint(0, 25))]
+        if r.random() < 0.7:
+            t[5:5] = [c for c in items[0][1].split() if r.random() < 0.9]
+        want = []
+        for k, item in items:
+            a = [hash(c) for c in item.split()]
+            allowed = decontaminate.limit(len(a))
+            tried = [(decontaminate.edit_distance(a, [hash(c) for c in t[p : p + len(a) + allowed]], allowed), p) for p in range(len(t))]
+            near = min(tried, default=(allowed + 1, 0))
+            if near[0] <= allowed:
+                want.append((k, near[1], len(a), near[0]))
+        index = decontaminate.Index(items)
+        assert index.matches(" ".join(t)) == want, (items, t)
+        assert bool(index.matches(" ".join(t), True)) == bool(want)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     _, _, items = bench_items()
     b = spark.createDataFrame(items, "item_id long, text string")
