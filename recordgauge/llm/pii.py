@@ -2,8 +2,8 @@
 
 Seeds are the matches of four base patterns (email, ip, card, phone). Their surroundings,
 two words before or one on either side, are lexical patterns; so are those of candidate
-tokens, which hold a digit or an '@'. Patterns and instances form a graph whose distinct
-edges are scored in rounds: a pattern by the share of its instances believed to be of a kind,
+tokens, which hold a digit or an '@' and are no mere part of a seed. Patterns and instances
+form a graph whose distinct edges are scored in rounds: a pattern by the share of its instances believed to be of a kind,
 an instance by the patterns that extract it (noisy or); seeds stay at one. Candidates of a
 fitting shape that believed patterns extract become further spans of that kind. Base spans
 always stay.
@@ -111,6 +111,11 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
 def believed_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, belief: float = BELIEF) -> DataFrame:
     """(pattern, kind, conf) of the patterns whose instances are mostly of one kind."""
     seen = found.filter("value is not null and (good or kind = 4)")
+    # a group of a seed that is written in groups is no instance of its own
+    order, ends = Window.partitionBy("row").orderBy("start"), F.when(F.col("good"), F.col("end"))
+    earlier, upto = (F.max(ends).over(order.rangeBetween(Window.unboundedPreceding, k)) for k in (-1, 0))
+    part = F.coalesce(earlier >= F.col("end"), F.lit(False)) | F.coalesce(upto > F.col("end"), F.lit(False))
+    seen = seen.withColumn("part", part).filter("good or not part")
     seeds = seen.filter("good").select(F.xxhash64("value").alias("inst"), "kind").distinct()
     edges = seen.select(F.xxhash64("value").alias("inst"), F.explode(F.array("p1", "p2")).alias("pattern")).filter("pattern is not null").distinct()
     # patterns with fewer instances than seeds are needed can't be believed: most go here

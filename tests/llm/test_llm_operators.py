@@ -231,6 +231,17 @@ def test_bpe_odd_rows(spark):
     assert bpe.decode(ids, path, pattern).decode() == "round trip ü" and struct.unpack("<I", ids[:4])[0] < 50256
 
 
+def test_pii_pattern_of_grouped_cards(spark):
+    texts = []
+    for k in range(12):
+        front = f"{4100 + k}" + "12345678123"
+        card = next(c for c in (front + str(d) for d in range(10)) if pii.brute(c) and pii.brute(c)[0][0] == "card")
+        texts.append(f"my card number {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} then{chr(97 + k)}")
+    texts.append("my card number 4111111111111112 otherwise")
+    got = {r.doc_id: r.spans for r in pii.op2(docs(spark, list(enumerate(texts)))).collect()}
+    assert got[12] == "card:15:31" and all(got[k] == "card:15:34" for k in range(12))
+
+
 def bench_items():
     r = random.Random(11)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(500)]
