@@ -239,10 +239,10 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 @register("assignment_scores")
 def assignment_scores(spark: SparkSession, d: str) -> DataFrame:
     """Both phases over the turns of a conversation, then partial-credit scores."""
-    x = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "role", F.char_length("text").alias("size"), F.substring("text", 1, 4).alias("head"))
+    x = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "role", F.char_length("text").alias("size"), F.sha2("text", 256).alias("digest"))
     gold = x.withColumn("key", F.when(F.col("pos") % 3 == 0, F.col("pos")))
-    pred = x.select("conv_id", "pos", F.when(F.col("pos") % 5 != 4, F.col("role")).alias("role"), (F.col("size") + F.when(F.col("pos") % 2 == 0, 1).otherwise(0)).alias("size"), "head").withColumn("key", F.when(F.col("pos") % 3 == 0, F.col("pos")))
-    names = {"role": 4.0, "size": 3.0, "head": 2.0}
+    pred = x.select("conv_id", "pos", F.when(F.col("pos") % 5 != 4, F.col("role")).alias("role"), (F.col("size") + F.when(F.col("pos") % 2 == 0, 1).otherwise(0)).alias("size"), "digest").withColumn("key", F.when(F.col("pos") % 3 == 0, F.col("pos")))
+    names = {"role": 4.0, "size": 3.0, "digest": 2.0}
 
     def sim(g, p):
         return matching.weighted_similarity([(g(f).isNotNull(), g(f).eqNullSafe(p(f)), w) for f, w in names.items()])

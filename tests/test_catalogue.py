@@ -49,3 +49,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_assignment_compares_whole_texts(spark, tmp_path):
+    rows = [(1, 2, "user", "same start"), (1, 4, "user", "same starts")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    (got,) = catalogue.queries()["assignment_scores"](spark, str(tmp_path)).collect()
+    assert (got.tp, got.fp, got.fn) == (8.0, 1.0, 3.0)
