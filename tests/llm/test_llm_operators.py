@@ -43,6 +43,16 @@ def test_html_held_out_pages():
     assert right >= 54
 
 
+def test_html_keeps_loose_text():
+    model, r = html_text.train(), random.Random(31)
+    say = lambda n, mark="": " ".join(mark + "".join(r.choice("aeilnrst") for _ in range(r.randint(2, 8))) for _ in range(n))
+    for k in range(30):
+        parts, ad = [say(40, "q"), say(25, "q")], f"<div class=ad>{say(60)}</div>"
+        core = ["<br>".join(parts), f"<div class=content>{parts[0]}{ad}{parts[1]}</div>", f"<article>{parts[0]} <b>{parts[1]}</b></article>{ad}"][k % 3]
+        page = f"<body><nav><ul><li><a href=/a>{say(2)}</a></li><li><a href=/b>{say(2)}</a></li></ul></nav>{core}<footer>&copy; {say(9)}</footer></body>"
+        assert html_text.main_texts([page], model)[0].split() == " ".join(parts).split(), page
+
+
 def test_html_decoding_never_contradicts():
     model, r = html_text.train(40), random.Random(5)
     for _ in range(30):
