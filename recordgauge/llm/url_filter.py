@@ -28,9 +28,9 @@ BITS, GRAMS = 12, (3, 4, 5)
 #: (host, path, verdict); the host is matched with all its subdomains.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Host stems of the labelled table; each stands in a few URL shapes.
-BAD = "cheap-pills free-bets casino-win ads-track spam-farm best-casino lucky-slots pills-online win-cash bet-now poker-bonus adserver click-track popup-ads loan-fast replica-watches viagra-shop seo-links spamlinks free-money cash-farm track-pixel banner-ads slots-win meds-cheap".split()
-GOOD = "news.library garden history.museum weather kitchen.recipes school.math river.travel open.data health.care astronomy city.council music.archive therhand thione tionsh thnting threste edinger theron wikitext poetry.review science.daily local.paper farmers.market books.corner ththes ththed ththin theres tiontion ththnt thenews homepage forum.club library.archive railway.history gardening.tips photo.album village.school hiking.trails choir.notes chess.club bird.watch parents.guide".split()
+#: Host stems of the labelled table, none of them a host or a word of the test tables; each stands in a few URL shapes.
+BAD = "hot-deals quick-loans diet-miracle clone-phones link-exchange best-casino lucky-slots pills-online win-cash bet-now poker-bonus adserver click-track popup-ads loan-fast replica-watches viagra-shop seo-links spamlinks free-money cash-farm track-pixel banner-ads slots-win meds-cheap".split()
+GOOD = "news.library garden history.museum weather kitchen.recipes school.math river.travel open.data health.care astronomy city.council music.archive bakery orchard lighthouse harbour meadow clinic theatre weaving pottery kindergarten cathedral botany mountains wikitext poetry.review science.daily local.paper farmers.market books.corner thenews homepage forum.club library.archive railway.history gardening.tips photo.album village.school hiking.trails choir.notes chess.club bird.watch parents.guide".split()
 SHAPES = ("www.{}.example.com/en/12", "{}.example.org/de/401.html", "m.{}.example.net/es/7/", "blog.{}.example.com/fr/933", "{}.example.org/en/58")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -375,6 +376,14 @@ def test_urls(spark):
     assert url_filter.op10(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata").exists(), reason="no driver tables here")
+def test_url_table_is_apart_from_the_data(spark):
+    urls = [r.url for sf in ("sf0.001", "sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("url").collect()]
+    hosts = {u.split("/")[2].lower() for u in urls if u and "://" in u}
+    stems = set(url_filter.BAD + url_filter.GOOD)
+    assert hosts and not [h for h in hosts if any(h.startswith(f"{x}.") or f".{x}." in h for x in stems)]
+
+
 def test_url_model_on_held_out_stems():
     table = url_filter.training_table()
     held = ("spam-farm", "casino-win", "cheap-pills", "garden", "astronomy", "city.council")
