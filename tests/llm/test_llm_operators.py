@@ -297,21 +297,37 @@ def test_edit_distance_by_brute_force():
         assert decontaminate.edit_distance(a, b, k) == plain(a, b, k), (a, b, k)
 
 
-def test_decontamination_at_the_limit():
-    r = random.Random(8)
+@pytest.mark.parametrize("n", [5, 8, 9, 10, 15, 20, 25, 40, 60, 80, 100, 200])
+def test_decontamination_recall_at_the_limit(n):
+    """Recall against the exhaustive edit distance, which finds all of these: exactly the permitted edits, one kind at a time."""
+    r = random.Random(n)
     vocab = [f"w{k}" for k in range(400)]
     say = lambda n: [r.choice(vocab) for _ in range(n)]
-    for n in (9, 20, 40, 60, 100):
-        items = [(k, " ".join(say(n))) for k in range(30)]
-        index, allowed = decontaminate.Index(items), decontaminate.limit(n)
+    items = [(k, " ".join(say(n))) for k in range(40)]
+    index, allowed = decontaminate.Index(items), decontaminate.limit(n)
+    assert allowed == n // 5
+    for kind in ("substitute", "delete", "insert", "mixed"):
+        found = 0
         for k, t in items:
-            for kind in ("substitute", "delete", "insert"):
-                w = t.split()
-                for at in sorted(r.sample(range(n), allowed), reverse=True):
-                    w[at : at + (kind != "insert")] = [] if kind == "delete" else ["zzz"]
-                text = say(40) + w + say(40)
-                got = {m[0]: m[3] for m in index.matches(" ".join(text))}
-                assert got.get(k, n) <= allowed and index.matches(" ".join(text), True), (n, kind)
+            text = say(40) + [str(x) for x in decontaminate.edited(t.split(), kind, allowed, r)] + say(40)
+            got = {m[0]: m for m in index.matches(" ".join(text))}
+            if k in got:
+                _, start, _, d = got[k]
+                assert d <= allowed and d == decontaminate.edit_distance(t.split(), text[start : start + n + allowed], allowed)
+                found += bool(index.matches(" ".join(text), True))
+        assert found >= 0.95 * len(items), (n, kind, found)
+
+
+def test_decontamination_of_long_texts():
+    r = random.Random(4)
+    items = [(0, " ".join(f"w{r.randrange(300)}" for _ in range(50))), (1, "aa bb " * 10)]
+    index = decontaminate.Index(items)
+    noise = [f"x{r.randrange(5000)}" for _ in range(200_000)]
+    assert index.matches(" ".join(noise)) == []
+    noise[150_000:150_000] = items[0][1].split()
+    assert index.matches(" ".join(noise)) == [(0, 150_000, 50, 0)]
+    # an item of few distinct pairs, in a text shorter than it
+    assert index.matches("aa bb " * 9) == [(1, 0, 20, 2)]
 
 
 def test_decontamination_by_brute_force():
