@@ -89,6 +89,67 @@ def test_pii_discovers_by_context(spark):
     assert got[99] == "email:17:33" and got[100] == "" and got[0].startswith("email:17:")
 
 
+def planted(r):
+    """Texts with (kind, start, end) of identifiers that no base pattern matches, and decoys of the same shapes in other contexts."""
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(2, 8)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card() -> str:
+        front = "4" + digits(14)
+        return next(c for c in (front + str(d) for d in range(10)) if pii.brute(c))
+
+    octet = lambda: str(r.randint(1, 254))
+    known = (lambda: f"{word()}.{digits(2)}@{word()}.com", lambda: ".".join(octet() for _ in range(4)), card, lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(39)) + "a1"[:1])
+    unseen = (lambda: f"{word()}{digits(2)}@intranet", lambda: "-".join(octet() for _ in range(4)), lambda: digits(4) + "." + digits(10), lambda: f"555-{digits(4)}", lambda: "sk_" + "".join(r.choice("0123456789ghjkmnpq") for _ in range(20)) + "7z")
+    frames = (("write to {} any time", "mail: {}", "e-mail is {} if"), ("from host {} at", "address {} refused", "peer: {}"), ("charged to card {} on", "card no. {}", "visa {} expires"), ("call me on {} after", "tel: {}", "phone {} between"), ("token = {}", "api_key: {}", "secret {} leaked"))
+    texts, want = [], {}
+    for k in range(600):
+        kind = k % 5
+        frame = f"{say(r.randint(2, 6))}{r.choice([' ', '. ', chr(10)])}{r.choice(frames[kind])} {say(r.randint(2, 6))}"
+        new = r.random() < 0.25
+        value = (unseen if new else known)[kind]()
+        texts.append(frame.format(value))
+        if new:
+            at = texts[-1].index(value)
+            want[k] = (pii.KINDS[kind], at, at + len(value))
+    for k in range(600, 900):  # the same shapes amid random words, and plain numbers
+        value = r.choice([*unseen, lambda: digits(r.randint(1, 9))])()
+        texts.append(f"{say(r.randint(2, 6))} {value} {say(r.randint(2, 6))}")
+    return texts, want
+
+
+def test_pii_discovery_in_varied_contexts(spark):
+    texts, want = planted(random.Random(6))
+    got = {}
+    for row in pii.op2(docs(spark, list(enumerate(texts)))).collect():
+        base = {f"{a}:{b}:{c}" for a, b, c in pii.brute(texts[row.doc_id])}
+        got |= {(row.doc_id, x): 1 for x in row.spans.split(",") if x and x not in base}
+        assert base <= set(row.spans.split(",")) and row.n_discovered == len([x for x in row.spans.split(",") if x]) - len(base)
+    # hex digests after the learnt words are secrets too: seeds, not unseen
+    found = {(k, x) for k, x in got if k in want or not x.startswith("secret")}
+    right = {(k, "%s:%d:%d" % v) for k, v in want.items()}
+    assert len(found & right) >= 0.8 * len(right) and len(found & right) >= 0.97 * len(found)
+    assert sum(k >= 600 for k, _ in got) <= 3  # of 300
+
+
+def test_pii_secrets_need_a_context(spark):
+    digest = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    known = [(k, f"word{chr(97 + k)} token = \"{digest(k)}\" then") for k in range(8)]
+    lone = [(50, f"commit {digest(50)} by me"), (51, 'here token = "sk_live_9zq8x7w6v5u4" now'), (52, "here token = 12 now")]
+    got = {r.doc_id: r.spans for r in pii.op2(docs(spark, [*known, *lone])).collect()}
+    assert all(got[k] == "secret:15:55" for k in range(8))
+    assert (got[50], got[51], got[52]) == ("", "secret:14:34", "")
+
+
+def test_pii_extra_columns_and_ties(spark):
+    # a value that fits two kinds is listed once
+    rows = [(k, f"ask at +1 (743) 555-38{k:02d} now") for k in range(12)] + [(40, "ask at 4111111111111112 now")]
+    df = docs(spark, rows).withColumns({"kind": F.lit(1), "start": F.lit(2), "value": F.lit("x"), "row": F.lit(3)})
+    got = {r.doc_id: r for r in pii.op2(df).collect()}
+    assert got[40].spans == "phone:7:23" and got[0].n_phone == 1
+
+
 def test_pii_odd_rows(spark):
     out = pii.op2(docs(spark))
     assert out.count() == len(ODD) and pii.op2(docs(spark).limit(0)).count() == 0
