@@ -1,6 +1,6 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded top-down without contradiction.
 
-A tolerant scanner builds the tree of a page. Each element has features: its tag, the tokens
+A tolerant scanner builds the tree of a page in one pass. Each element has features: its tag, the tokens
 of its class, id and role, depth, text, link and punctuation density of its subtree,
 position among its siblings and their sizes, and the same marks of its ancestors. Boosted
 trees give each element three states: article (A), boilerplate (B) and mixed container (M).
@@ -10,12 +10,14 @@ elements is a leaf of its own, each run up to the next block, and leaves are nev
 that every text is judged; that in A leaves is kept, block by block.
 
 The trees are trained on pages that `training_page` makes by rule, with known articles
-(TRAIN_PAGES of them, some 2 s on the driver); the model is about 100 kB. Extraction is one
+(TRAIN_PAGES of them, some 5 s on the driver); the model is about 100 kB. Extraction is one
 Arrow pass over the html column, no shuffle; nodes of a batch are scored together.
 
 Defined cases: null or empty html gives ''; text without any tag is one article; unclosed,
-stray or crossed tags close what HTML would close; a comment or quote that never ends takes
-the rest; repeated rows are treated alike; other columns pass through `extract`.
+stray or crossed tags close what HTML would close; a comment, tag or quoted value that never
+ends takes the rest; a page of any length is scanned in one pass; repeated rows are treated
+alike; other columns pass through `extract`, but one named __text gives way to the result;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 
 from recordgauge.llm.boosting import Boosted, fit
 
-TRAIN_PAGES = 320
+TRAIN_PAGES = 800
 ARTICLE, BOILER, MIXED = range(3)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never page text.
@@ -39,6 +41,8 @@ SILENT = frozenset("script style noscript template title textarea select svg ifr
 RAW = frozenset("script style title textarea noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 ENDS_P = BLOCK - {"body", "html"}
+#: Open elements that keep a start tag from closing a paragraph outside them.
+HOLDS_P = ("td", "th", "button", "table", "body", "html")
 #: Open elements that a start tag of the key closes, and the ones that stop the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TAGS = {t: k for k, t in enumerate("div section article main p h1 h2 h3 h4 ul ol li a nav header footer aside form table blockquote pre figure body html span button label #text".split())}
@@ -57,8 +61,11 @@ GROUPS = (
     "article content post entry story main body text page prose",
 )
 GROUP_OF = {w: k for k, words in enumerate(GROUPS) for w in words.split()}
-_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*+>)""")
-_ATTR = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Attributes whose words count.
+NAMED = frozenset(("class", "id", "role", "aria-label"))
+_NAME = re.compile(r"[^\s/>]++")
+#: One step through a start tag: up to its end, or to an attribute's value, quoted or not.
+_STEP = re.compile(r"""([^>=]*+)(?:(>)|=\s*+(?:(["'])|([^\s>]*+)))""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -79,71 +86,101 @@ class Page:
                 run = {}
             elif node in has and (node in run or text.strip()) and len(self.tag) > 1:
                 if node not in run:
-                    run[node] = self.add("#text", node, "")
+                    run[node] = self.add("#text", node, 0)
                 self.flow[k] = (run[node], text)
 
-    def add(self, tag: str, parent: int, attrs: str) -> int:
-        marks = 0
-        for m in _ATTR.finditer(attrs) if attrs else ():
-            for w in _TOKEN.findall(m[1] or m[2] or m[3] or ""):
-                k = GROUP_OF.get(w.lower())
-                if k is not None:
-                    marks |= 1 << k
+    def add(self, tag: str, parent: int, marks: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.groups.append(marks)
         return len(self.tag) - 1
 
     def scan(self, s: str) -> None:
-        stack, at, quiet, flow = [0], 0, 0, self.flow
+        """One pass: every character is looked at a bounded number of times."""
+        stack, flow, at, text = [0], self.flow, 0, 0
+        places: dict[str, list[int]] = {}  # of each tag, where it is open on the stack
+        quiet = 0
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def close(k: int) -> int:
+            out = 0
+            for node in stack[k:]:
+                places[self.tag[node]].pop()
+                out += self.tag[node] in SILENT
+            del stack[k:]
+            return out
+
+        def say(end: int) -> None:
+            if text < end and not quiet:
+                flow.append((stack[-1], _html.unescape(s[text:end])))
+
         while True:
-            m = _TAG.search(s, at)
-            if at < (end := m.start() if m else len(s)) and not quiet:
-                flow.append((stack[-1], _html.unescape(s[at:end])))
-            if not m:
+            begin = s.find("<", at)
+            if begin < 0 or begin + 1 == len(s):
+                say(len(s))
                 return
-            at = m.end()
-            if m[2] is None:
-                if s.startswith("<!--", m.start()):
-                    close = s.find("-->", m.start() + 4)
-                    at = len(s) if close < 0 else close + 3
+            c = s[begin + 1]
+            ending = c == "/" and s[begin + 2 : begin + 3].isalpha()
+            if not (ending or c in "!?" or c.isascii() and c.isalpha()):
+                at = begin + 1
+                continue
+            say(begin)
+            if c in "!?":
+                comment = s.startswith("<!--", begin)
+                stop = s.find("-->" if comment else ">", begin + (4 if comment else 2))
+                at = text = len(s) if stop < 0 else stop + (3 if comment else 1)
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag), 0)
-                if k:
-                    for node in stack[k:]:
-                        quiet -= self.tag[node] in SILENT
-                    del stack[k:]
+            name = _NAME.match(s, begin + 1 + ending)
+            tag = name[0].lower()
+            marks, at, bare = 0, name.end(), False
+            while (step := _STEP.match(s, at)) and not step[2]:
+                if step[3]:
+                    stop = s.find(step[3], step.end())
+                    value, at = ("", len(s)) if stop < 0 else (s[step.end() : stop], stop + 1)
+                else:
+                    value, at = step[4], step.end()
+                field = step[1].split()
+                if field and field[-1].lower() in NAMED:
+                    for w in _TOKEN.findall(value):
+                        k = GROUP_OF.get(w.lower())
+                        if k is not None:
+                            marks |= 1 << k
+            if not step:  # a tag or a quote that never ends takes the rest
+                return
+            bare = step[1].endswith("/")
+            at = text = step.end()
+            if ending:
+                if places.get(tag):
+                    quiet -= close(places[tag][-1])
                 if tag in BLOCK:
                     flow.append((-1, ""))
                 continue
             if tag == "body" and quiet:  # a head that was never closed
                 quiet = 0
-                del stack[max(1, next((k for k, n in enumerate(stack) if self.tag[n] == "head"), 1)) :]
-            closing, stop = CLOSES.get(tag, (None, None))
-            if closing or tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    name = self.tag[stack[k]]
-                    if (closing and name in closing) or (not closing and name == "p"):
-                        for node in stack[k:]:
-                            quiet -= self.tag[node] in SILENT
-                        del stack[k:]
-                        break
-                    if (stop and name in stop) or (not closing and name in ("td", "th", "button", "table", "body", "html")):
-                        break
+                close(max(1, places["head"][0] if places.get("head") else 1))
+            if tag in CLOSES:
+                closing, stops = CLOSES[tag]
+                found = last(closing)
+                if found > last(stops):
+                    quiet -= close(found)
+            elif tag in ENDS_P:
+                found = last(("p",))
+                if found > last(HOLDS_P):
+                    quiet -= close(found)
             if tag in BLOCK:
                 flow.append((-1, ""))
             elif tag in ("br", "td", "th") and not quiet:
                 flow.append((stack[-1], " "))
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if tag in VOID or bare and tag not in BLOCK:
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(s, at)
-                at = close.start() if close else len(s)
-                at = (s.find(">", at) + 1 or len(s)) if close else at
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(s, at)
+                at = text = stop.end() if stop else len(s)
                 continue
-            stack.append(self.add(tag, stack[-1], m[3]))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(self.add(tag, stack[-1], marks))
             quiet += tag in SILENT
 
     def features(self) -> np.ndarray:
@@ -214,96 +251,179 @@ class Page:
         return "\n\n".join(blocks)
 
 
-def training_page(r: random.Random) -> tuple[str, str]:
-    """A made-up page and the marker of its article texts: words of the article start with 'q'."""
+class Maker:
+    """Made-up pages by rule. Words of an article start with MARK, those of boilerplate never do."""
+
+    MARK = "q"
 
-    def say(lo: int, hi: int, mark: str = "") -> str:
-        w = [mark + "".join(r.choice("aeioulmnrst") for _ in range(r.randint(1, 9))) for _ in range(r.randint(lo, hi))]
-        out = " ".join(x + r.choice(["", "", "", "", ",", "."]) for x in w)
-        return out + r.choice([".", ".", "", "!", " ***", "%%"])
+    def __init__(self, r: random.Random):
+        self.r = r
 
-    def links(lo: int, hi: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{k}">{say(1, 3)}</a></li>' for k in range(r.randint(lo, hi))) + "</ul>"
+    def chance(self, p: float) -> bool:
+        return self.r.random() < p
 
-    def attr(group: int) -> str:
+    def words(self, low: int, high: int, mark: str = "") -> str:
+        """One sentence or several."""
+        r, out = self.r, []
+        for _ in range(r.randint(low, high)):
+            w = mark + "".join(r.choice("aeioudlmnrstk") for _ in range(r.randint(1, 9)))
+            out.append((w.title() if self.chance(0.1) and not mark else w) + (r.choice([",", ".", ";", "?", ":"]) if self.chance(0.12) else ""))
+        return " ".join(out) + ("." if self.chance(0.5) else "")
+
+    def attrs(self, group: int, sure: float = 1.0) -> str:
+        """A class, id or role that speaks for a group, or another word or none."""
+        r = self.r
+        if not self.chance(sure):
+            return "" if self.chance(0.7) else f' class="{r.choice(["c1", "row", "inner", "block-2", "s7", "col-8", "x"])}"'
         w = r.choice(GROUPS[group].split())
-        return f' {r.choice(["class", "class", "id", "role"])}="{r.choice([w, w, w + "-box", "site-" + w, w + " x1", w.title() + "Area"])}"'
-
-    def boiler(inside: bool = False) -> str:
-        kind = r.choice("ad ad nav side notice form comment share foot related text".split())
-        if kind == "ad":
-            return f"<{(t := r.choice(['div', 'div', 'aside', 'section']))}{attr(0)}>{say(1, 40)}</{t}>"
-        if kind == "nav":
-            return f"<nav>{links(2, 8)}</nav>" if r.random() < 0.6 else f"<div{attr(1)}>{links(2, 9)}</div>"
+        shape = r.choice(["{}", "{}", "{}-box", "site-{}", "{} x1", "{}Area", "js-{}", "page_{}", "{}-{}".format("{}", r.randint(1, 9)), "main-{}"] if group != 9 else ["{}", "{}", "{}-body", "single-{}", "{} clearfix", "the{}", "{}-wrap"])
+        return f' {r.choice(["class", "class", "class", "id", "role"])}="{shape.format(w)}"'
+
+    def link(self, low: int = 1, high: int = 3, mark: str = "") -> str:
+        return f'<a href="{self.r.choice(["/", "#", "https://e.example/"])}{self.r.randint(0, 99)}">{self.words(low, high, mark)}</a>'
+
+    def links(self, low: int, high: int) -> str:
+        n = self.r.randint(low, high)
+        kind = self.r.choice(["ul", "ul", "ul", "ol", "bar", "div"])
+        if kind == "bar":
+            return self.r.choice([" | ", " ", " &raquo; ", " / "]).join(self.link() for _ in range(n))
+        if kind == "div":
+            return "".join(f"<div>{self.link()}</div>" for _ in range(n))
+        return f"<{kind}>" + "".join(f"<li>{self.link()}{'</li>' if self.chance(0.9) else ''}" for _ in range(n)) + f"</{kind}>"
+
+    def boiler(self, inside: bool = False) -> str:
+        r = self.r
+        kind = r.choice("advert advert menu crumbs side notice form comments share related hidden".split() if inside else "advert advert menu crumbs side notice form comments share related imprint hidden".split())
+        if kind == "advert":
+            t = r.choice(["div", "div", "aside", "section", "ins", "p"])
+            return f"<{t}{self.attrs(0)}>{self.link(1, 6) if self.chance(0.3) else self.words(1, 40)}</{t}>"
+        if kind == "menu":
+            t = r.choice(["nav", "nav", "div", "ul"])
+            if t == "ul":
+                return f"<ul{self.attrs(1)}>" + "".join(f"<li>{self.link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
+            return f"<{t}{self.attrs(1, 0.4 if t == 'nav' else 0.8)}>{self.links(2, 12)}</{t}>"
+        if kind == "crumbs":
+            t = r.choice(["div", "p", "nav"])
+            return f"<{t}{self.attrs(1, 0.7)}>{' &gt; '.join(self.link() for _ in range(r.randint(2, 4)))}</{t}>"
         if kind in ("side", "related"):
-            t = r.choice(["aside", "div"])
-            return f"<{t}{attr(4)}><h3>{say(1, 4)}</h3>{links(1, 6)}<p>{say(3, 30)}</p></{t}>"
+            t = r.choice(["aside", "div", "section"])
+            said = f"<p>{self.words(3, 40)}</p>" if self.chance(0.5) else ""
+            return f"<{t}{self.attrs(4, 0.6 if t == 'aside' else 0.9)}><{(h := r.choice(['h2', 'h3', 'h4']))}>{self.words(1, 4)}</{h}>{said}{self.links(1, 8)}</{t}>"
         if kind == "notice":
-            return f"<div{attr(5)}><p>{say(4, 30)}</p><button>{say(1, 2)}</button></div>" if r.random() < 0.6 else f"<div{attr(5)}>{say(4, 40)}</div>"
+            said = f"<p>{self.words(4, 40)}</p>" if self.chance(0.6) else self.words(4, 40)
+            return f"<div{self.attrs(5)}>{said}{f'<button>{self.words(1, 2)}</button>' if self.chance(0.6) else self.link() if self.chance(0.5) else ''}</div>"
         if kind == "form":
-            return f'<form action="/s"{attr(6) if r.random() < 0.5 else ""}><label>{say(1, 4)}</label><input name="q"><p>{say(1, 20)}</p><button>{say(1, 2)}</button></form>'
-        if kind == "comment":
-            said = "".join(f"<{(t := r.choice(['div', 'li', 'article']))}{attr(7)}><p>{say(3, 60)}</p></{t}>" for _ in range(r.randint(1, 5)))
-            return f"<{(t := r.choice(['section', 'div']))}{attr(7)}><h2>{say(1, 3)}</h2>{said}</{t}>"
+            field = f'<label>{self.words(1, 4)}</label><input name="f{r.randint(1, 9)}">'
+            return f'<form action="/f"{self.attrs(6, 0.5)}>{field}{f"<p>{self.words(1, 25)}</p>" if self.chance(0.6) else ""}<button type="submit">{self.words(1, 2)}</button></form>'
+        if kind == "comments":
+            t = r.choice(["div", "li", "article", "section"])
+            said = "".join(f"<{t}{self.attrs(7, 0.8)}>{f'<b>{self.words(1, 2)}</b>' if self.chance(0.4) else ''}<p>{self.words(3, 70)}</p></{t}>" for _ in range(r.randint(1, 6)))
+            said = f"<ol>{said}</ol>" if t == "li" else said
+            return f"<{(o := r.choice(['section', 'div']))}{self.attrs(7)}><{(h := r.choice(['h2', 'h3']))}>{self.words(1, 3)}</{h}>{said}</{o}>"
         if kind == "share":
-            return f"<div{attr(8)}><a href='#'>{say(1, 2)}</a> <a href='#'>{say(1, 2)}</a></div>"
-        if kind == "foot" and not inside:
-            return f"<footer>&copy; {say(1, 40)}</footer>" if r.random() < 0.6 else f"<div{attr(3)}>{say(2, 20)}{links(1, 4)}</div>"
-        return f"<div{attr(r.choice([0, 4, 5]))}><span>{say(1, 25)}</span></div>"
-
-    def body() -> str:
-        out = [f"<h1>{say(1, 9, 'q')}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.choice([1, 1, 2, 3, 5, 9, 16])):
-            kind, words = r.random(), r.choice([(1, 4), (5, 30), (20, 90)])
-            if kind < 0.62:
-                out.append(f"<p>{say(*words, 'q')}</p>")
+            return f"<{(t := r.choice(['div', 'ul', 'p']))}{self.attrs(8)}>" + (" ".join(self.link(1, 2) for _ in range(r.randint(2, 5))) if t != "ul" else "".join(f"<li>{self.link(1, 2)}</li>" for _ in range(r.randint(2, 5)))) + f"</{t}>"
+        if kind == "imprint":
+            return self.imprint()
+        return f"<div{self.attrs(r.choice([0, 4, 5]))}><span>{self.words(1, 30)}</span></div>"
+
+    def imprint(self) -> str:
+        said = self.r.choice(["&copy; 2021 ", "Copyright ", "(c) ", "", "", "&#169; "]) + self.words(1, 40)
+        said += self.links(1, 6) if self.chance(0.4) else ""
+        return f"<footer{self.attrs(3, 0.3)}>{f'<p>{said}</p>' if self.chance(0.4) else said}</footer>" if self.chance(0.65) else f"<div{self.attrs(3)}>{said}</div>"
+
+    def masthead(self) -> str:
+        inner = f"<{(t := self.r.choice(['div', 'p', 'h1', 'h2', 'span']))}{self.attrs(2, 0.7)}>{self.link() if self.chance(0.5) else self.words(1, 5)}</{t}>"
+        inner += f"<nav>{self.links(2, 8)}</nav>" if self.chance(0.4) else self.words(2, 8) if self.chance(0.2) else ""
+        return f"<header{self.attrs(2, 0.4)}>{inner}</header>" if self.chance(0.6) else f"<div{self.attrs(2)}>{inner}</div>"
+
+    def inline(self, low: int, high: int) -> str:
+        """Article text with a few inline elements."""
+        m, r = self.MARK, self.r
+        out = [self.words(low, high, m)]
+        for _ in range(r.choice([0, 0, 0, 1, 2])):
+            t = r.choice(["b", "i", "em", "strong", "a", "code", "span", "sup"])
+            out += [self.link(1, 4, m) if t == "a" else f"<{t}>{self.words(1, 5, m)}</{t}>", self.words(1, 20, m)]
+        return " ".join(out)
+
+    def paragraphs(self) -> str:
+        r, m = self.r, self.MARK
+        out = [f"<{(h := r.choice(['h1', 'h1', 'h1', 'h2']))}>{self.words(1, 10, m)}</{h}>"] if self.chance(0.85) else []
+        if self.chance(0.1):
+            out[:] = [f"<header>{''.join(out)}<p>{self.words(3, 12, m)}</p></header>"]
+        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 16])):
+            size = r.choice([(1, 5), (5, 30), (20, 90)])
+            kind = r.random()
+            if kind < 0.68:
+                out.append(f"<p>{self.inline(*size)}{'</p>' if self.chance(0.85) else self.r.choice(['', '<br>'])}")
             elif kind < 0.74:
-                out.append(f"<p><b>{say(*words, 'q')}<br>")
-            elif kind < 0.8:
-                out.append(f"<h2>{say(1, 6, 'q')}</h2>")
+                out.append(f"<{(h := r.choice(['h2', 'h3', 'h4']))}>{self.words(1, 7, m)}</{h}>")
+            elif kind < 0.81:
+                t = r.choice(["ul", "ol"])
+                out.append(f"<{t}>" + "".join(f"<li>{self.inline(1, 20)}</li>" for _ in range(r.randint(2, 6))) + f"</{t}>")
             elif kind < 0.86:
-                out.append("<ul>" + "".join(f"<li>{say(1, 12, 'q')}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+                out.append(f"<blockquote>{self.inline(*size)}</blockquote>" if self.chance(0.5) else f"<blockquote><p>{self.inline(*size)}</p></blockquote>")
             elif kind < 0.9:
-                out.append(f"<blockquote>{say(*words, 'q')}</blockquote>")
+                cells = "".join("<tr>" + "".join(f"<td>{self.words(1, 5, m)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4)))
+                out.append(f"<table>{cells}</table>")
             elif kind < 0.93:
-                out.append(f"<table><tr><td>{say(1, 4, 'q')}</td><td>{say(1, 4, 'q')}</td></tr></table>")
+                out.append(f"<pre><code>{self.words(3, 25, m)}</code></pre>")
+            elif kind < 0.96:
+                out.append(f"<figure><img src=x.png><figcaption>{self.words(2, 12, m)}</figcaption></figure>")
             else:
-                out.append(f"<p>{say(2, 20, 'q')} <a href='/x'>{say(1, 3, 'q')}</a> <em>{say(1, 8, 'q')}</em></p>")
-            if r.random() < 0.06:
-                out.append(boiler(inside=True))
+                out.append(f"<div>{self.inline(*size)}</div>")
+            if self.chance(0.07):
+                out.append(self.boiler(inside=True))
+        if self.chance(0.12):
+            at = len(out) // 2
+            out = [f"<section>{''.join(out[:at])}</section>" if at else "", f"<section>{''.join(out[at:])}</section>"]
         return "".join(out)
 
-    def loose() -> str:
-        out = [say(5, 60, "q")]
-        for _ in range(r.choice([0, 1, 2, 4])):
-            out.append(r.choice(["<br>", "<br><br>", f" <b>{say(1, 5, 'q')}</b> ", f" <a href='/x'>{say(1, 3, 'q')}</a> ", f"<p>{say(5, 60, 'q')}</p>", boiler(inside=True)]) + say(5, 60, "q"))
+    def loose(self) -> str:
+        out = [self.words(5, 60, self.MARK)]
+        for _ in range(self.r.choice([0, 1, 2, 4])):
+            out.append(self.r.choice(["<br>", "<br><br>", f" <b>{self.words(1, 5, self.MARK)}</b> ", f" {self.link(1, 3, self.MARK)} ", f"<p>{self.words(5, 60, self.MARK)}</p>", self.boiler(inside=True)]) + self.words(5, 60, self.MARK))
         return "".join(out)
 
-    shape = r.random()
-    if shape < 0.03:
-        return say(1, 200, "q"), "q"
-    if r.random() < 0.2:
-        body = loose  # noqa: F811
-    if shape < 0.55:
-        core = f"<article{attr(9) if r.random() < 0.3 else ''}>{body()}</article>"
-    elif shape < 0.8:
-        core = f"<div{attr(9)}>{body()}</div>"
-    elif shape < 0.9:
-        core = f"<main>{body()}</main>"
-    else:
-        core = body()
-    before = "".join(boiler() for _ in range(r.randint(0, 4)))
-    after = "".join(boiler() for _ in range(r.randint(0, 4)))
-    if r.random() < 0.3:
-        before = f"<header><div{attr(2)}>{say(1, 5)}</div>{'<nav>' + links(2, 6) + '</nav>' if r.random() < 0.5 else ''}</header>" + before
-    if r.random() < 0.6:
-        after += f"<footer>&copy; {say(1, 60)}</footer>"
-    if r.random() < 0.5:
-        before = f"<nav>{links(3, 8)}</nav>" + before
-    whole = before + core + after
-    for _ in range(r.choice([0, 0, 1, 2])):
-        whole = f"<div{r.choice(['', ' id=wrap', ' class=container'])}>{whole}</div>"
-    return f"<!DOCTYPE html><html><head><title>{say(1, 5)}</title><style>p{{}}</style></head><body>{whole}</body></html>", "q"
+    def page(self) -> str:
+        r = self.r
+        if self.chance(0.03):
+            return self.words(1, 200, self.MARK)
+        body = self.loose() if self.chance(0.2) else self.paragraphs()
+        core = r.choice([
+            lambda: f"<article{self.attrs(9, 0.4)}>{body}</article>",
+            lambda: f"<article{self.attrs(9, 0.4)}>{body}</article>",
+            lambda: f"<div{self.attrs(9)}>{body}</div>",
+            lambda: f"<div{self.attrs(9)}><div{self.attrs(9, 0.5)}>{body}</div></div>",
+            lambda: f"<main{self.attrs(9, 0.3)}>{body}</main>",
+            lambda: f"<main><article>{body}</article>{self.boiler()}</main>",
+            lambda: f"<section{self.attrs(9, 0.7)}>{body}</section>",
+            lambda: f"<div>{body}</div>",
+            lambda: body,
+        ])()
+        before = "".join(self.boiler() for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4])))
+        after = "".join(self.boiler() for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4])))
+        if self.chance(0.12):  # columns by a table
+            side = f"<td{self.attrs(4, 0.6)}>{self.links(2, 9)}</td>"
+            cells = [side, f"<td{self.attrs(9, 0.4)}>{body}</td>"]
+            core = f"<table><tr>{''.join(cells if self.chance(0.6) else cells[::-1])}</tr></table>"
+        if self.chance(0.5):
+            before = f"<nav{self.attrs(1, 0.3)}>{self.links(2, 9)}</nav>" + before
+        if self.chance(0.4):
+            before = self.masthead() + before
+        if self.chance(0.65):
+            after += self.imprint()
+        whole = before + core + after
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            whole = f"<div{r.choice(['', ' id=wrap', ' class=container', ' class=layout', ' id=page-7'])}>{whole}</div>"
+        if self.chance(0.1):
+            return whole
+        extra = r.choice(["", "<script>if (a < b) { c('</p>') }</script>", f"<noscript><p>{self.words(2, 9)}</p></noscript>", f"<!-- {self.words(1, 9)} -->"])
+        return f"<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>{self.words(1, 6)}</title><style>p{{margin:1em}}</style></head><body>{extra}{whole}</body></html>"
+
+
+def training_page(r: random.Random) -> tuple[str, str]:
+    """A made-up page and the mark of its article's words."""
+    return Maker(r).page(), Maker.MARK
 
 
 def labelled(pages: int = TRAIN_PAGES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -352,6 +472,7 @@ def main_texts(sources: list[str | None], model: Boosted) -> list[str]:
 def extract(df: DataFrame, source: str = "html", model: Boosted | None = None) -> DataFrame:
     """`df` without the html column, with __text appended."""
     model = model or train()
+    df = df.drop("__text")
     others = [f for f in df.schema.fields if f.name != source]
     schema = T.StructType([*others, T.StructField("__text", T.StringType())])
 
