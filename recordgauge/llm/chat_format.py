@@ -12,16 +12,21 @@ source (control strings, or texts that look like escapes), its content is escape
 the parser undoes. The whole conversation is then reparsed and compared once more; a
 difference would raise.
 
+The loss mask is a list of spans (start, end in code points) of the formatted text, one for
+each assistant body in order; `masked_text` reads them back from it and unescapes them.
+
 Defined cases: null role or text is empty; turns order by (turn, role, text), so repeated
-rows stay; a null conv_id is a conversation of its own; an empty table gives an empty one.
+rows stay; a null conv_id is a conversation of its own; very long texts are formatted whole;
+an empty table gives an empty one; other columns are not read, whatever their names.
 
-Scale: turns are rendered and checked before the one shuffle (by conversation); a
-conversation is one output row, so its turns meet in one task by definition.
+Scale: turns are rendered and checked before the one shuffle (by conversation), which the
+running lengths of the spans and the grouping share; a conversation is one output row, so
+its turns meet in one task by definition; every step is linear in the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -42,13 +47,23 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
+def head(role: Column) -> Column:
+    """What stands before a body."""
+    return F.concat(F.lit(START), role, F.lit("\n"))
+
+
 def render(role: Column, body: Column) -> Column:
-    return F.concat(F.lit(START), role, F.lit("\n"), body, F.lit(f"{END}\n"))
+    return F.concat(head(role), body, F.lit(f"{END}\n"))
+
+
+def cut_up(rendered: Column) -> Column:
+    """The text before the first turn, and each turn without its opening mark."""
+    return F.split(rendered, r"<\|im_start\|>", -1)
 
 
 def parse(rendered: Column) -> Column:
     """array<struct<role,text>> of a rendered text; null where it isn't in the grammar."""
-    pieces = F.split(rendered, r"<\|im_start\|>", -1)
+    pieces = cut_up(rendered)
     closing = f"{END}\n"
 
     def turn(piece: Column) -> Column:
@@ -62,20 +77,38 @@ def parse(rendered: Column) -> Column:
     return F.when((F.element_at(pieces, 1) == "") & F.forall(turns, lambda t: t.isNotNull()), turns)
 
 
-def format_conversations(df: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): `turns` are read back from `formatted`."""
+def format_conversations(df: DataFrame, learner: str = "assistant") -> DataFrame:
+    """(conv_id, formatted, turns, mask, loss): `turns` and `loss` are read back from `formatted`.
+
+    `mask` holds the span (start, end) of each body that `learner` says, in order; `loss` is
+    the text under it, unescaped and joined."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    source = F.struct(role.alias("role"), text.alias("text"))
-    turns = df.select("conv_id", "turn", source.alias("src"))
-    plain = render(F.col("src.role"), F.col("src.text"))
-    safe = render(escape(F.col("src.role"), ROLE_ESCAPES), escape(F.col("src.text")))
-    same = parse(plain).eqNullSafe(F.array("src"))
-    rendered = turns.select("conv_id", "turn", "src", F.when(same, plain).otherwise(safe).alias("out"))
-    grouped = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("src.role").alias("role"), F.col("src.text").alias("text"), "out"))).alias("t"))
-    whole = grouped.select("conv_id", F.array_join("t.out", "").alias("formatted"), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("wanted"))
-    read = whole.select("conv_id", "formatted", "wanted", parse(F.col("formatted")).alias("turns"))
+    turns = df.select("conv_id", "turn", F.struct(role.alias("role"), text.alias("text")).alias("src"))
+    same = parse(render(F.col("src.role"), F.col("src.text"))).eqNullSafe(F.array("src"))
+    turns = turns.withColumn("plain", same).select(
+        "conv_id", "turn", "src",
+        F.when(F.col("plain"), F.col("src.role")).otherwise(escape(F.col("src.role"), ROLE_ESCAPES)).alias("role"),
+        F.when(F.col("plain"), F.col("src.text")).otherwise(escape(F.col("src.text"))).alias("body"),
+    )
+    rendered = turns.select("conv_id", "turn", "src", render(F.col("role"), F.col("body")).alias("out"), F.char_length(head(F.col("role"))).alias("before"), F.char_length("body").alias("size"))
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "src.role", "src.text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rendered.withColumn("at", F.coalesce(F.sum(F.char_length("out")).over(earlier), F.lit(0)))
+    start = F.col("at") + F.col("before")
+    each = F.struct("turn", F.col("src.role").alias("role"), F.col("src.text").alias("text"), "at", start.alias("start"), (start + F.col("size")).alias("end"), "out")
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("t"))
+    whole = grouped.select("conv_id", F.array_join("t.out", "").alias("formatted"), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("wanted"), F.transform("t", lambda t: F.struct(t["at"], t["start"], t["end"], (t["role"] == learner).alias("on"))).alias("places"))
+    read = whole.select("conv_id", "formatted", "wanted", "places", parse(F.col("formatted")).alias("turns"))
     checked = F.when(F.col("turns").eqNullSafe(F.col("wanted")), F.col("turns")).otherwise(F.raise_error(F.lit("a formatted conversation does not read back")).cast("array<struct<role:string,text:string>>"))
-    return read.select("conv_id", "formatted", checked.alias("turns"))
+    mask = F.transform(F.filter("places", lambda x: x["on"]), lambda x: F.struct(x["start"], x["end"]))
+    return read.select("conv_id", "formatted", checked.alias("turns"), mask.alias("mask"), masked_text(F.col("formatted"), F.col("places")).alias("loss"))
+
+
+def masked_text(formatted: Column, places: Column) -> Column:
+    """The text under the spans of `places` that are on, unescaped. Each is cut out of the one turn in which it lies, so that a long text is passed once."""
+    pieces = cut_up(formatted)
+    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    said = F.zip_with(inner, places, lambda p, x: F.when(x["on"], unescape(F.substring(p, (x["start"] - x["at"] - len(START) + 1).cast("int"), (x["end"] - x["start"]).cast("int")))))
+    return F.array_join(said, "")
 
 
 def extra_conversation(spark: SparkSession) -> DataFrame:
@@ -86,13 +119,12 @@ def extra_conversation(spark: SparkSession) -> DataFrame:
 def op9(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra_conversation(conversations.sparkSession))
     done = format_conversations(rows)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
