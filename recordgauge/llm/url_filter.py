@@ -10,8 +10,10 @@ Training is a few hundred numpy steps on the driver; the weights (2**12 doubles,
 32 kB) travel with the function. Scoring is one Arrow pass over the url column, no shuffle.
 
 Defined cases: a null URL, or one without '://', has an empty host and path, and goes to the
-model (an all-zero row: the bias decides, allow); repeated rows are judged alike; other
-columns pass through `judge_urls`.
+model like any other (an all-zero row: the bias decides, which comes out as allow); a URL of
+any length is read whole; repeated rows are judged alike; other columns pass through
+`judge_urls`, but those named like one of its results give way to it; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SHAPES = ("www.{}.example.com/en/12", "{}.example.org/de/401.html", "m.{}.exampl
 
 
 def training_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): some 330 rows, from the lists above."""
+    """(host, path, 1 to block): 345 rows, from the lists above."""
     rows = []
     for label, stems in ((1, BAD), (0, GOOD)):
         for stem in stems:
@@ -102,10 +104,10 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, threshold: float =
             out.append(float(1 / (1 + np.exp(-z))))
         return pd.Series(out, dtype="float64")
 
-    parts = df.withColumns({"__host": host, "__path": path})
+    parts = df.drop("__host", "__path", "__rule", "__ruled", "__score", "__verdict").withColumns({"__host": host, "__path": path})
     name, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     parts = parts.withColumns({"__rule": name, "__ruled": verdict, "__score": score("__host", "__path")})
-    by_model = F.when((F.col("__score") >= threshold) & (F.col("__host") != ""), "block").otherwise("allow")
+    by_model = F.when(F.col("__score") >= threshold, "block").otherwise("allow")
     return parts.withColumn("__verdict", F.coalesce("__ruled", by_model)).drop("__ruled")
 
 
