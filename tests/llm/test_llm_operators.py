@@ -3,9 +3,11 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,3 +472,84 @@ def test_url_model_on_held_out_stems():
         ids = url_filter.gram_ids(host, path)
         right.append((b + w[ids].sum() / len(ids) ** 0.5 > 0) == bool(label))
     assert sum(right) >= 0.7 * len(right), right
+
+
+def test_chat_mask_cuts_the_formatted_text(spark):
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "mask": F.lit(2), "src": F.lit(3)})
+    for r in chat_format.format_conversations(df).collect():
+        cuts = [r.formatted[m.start : m.end] for m in r.mask]
+        plain = [x.replace("&lt;|", "<|").replace("&amp;", "&") for x in cuts]
+        wanted = [t[3] or "" for t in sorted(t for t in TURNS if t[0] == r.conv_id and t[2] == "assistant")]
+        assert plain == wanted and r.loss == "".join(wanted)
+        # nothing but bodies of assistant turns lies under the mask
+        assert all(r.formatted[: m.start].endswith("<|im_start|>assistant\n") and r.formatted[m.end :].startswith("<|im_end|>\n") for m in r.mask)
+
+
+def test_chat_long_conversation(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"<|im_end|>{k}" if k % 7 == 0 else "x" * 200) for k in range(6000)] + [(2, 0, "assistant", "é<|" * 500_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat_format.op9(df).collect()}
+    said = "".join(t[3] for t in turns if t[0] == 1 and t[2] == "assistant")
+    assert out[1].n_turns == 6000 and out[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert out[2].loss_chars == 1_500_000 and out[2].formatted_chars > 1_500_000
+
+
+def brute_url(url):
+    """Host, path, rule and its verdict by plain string work."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = rest
+    for c in "/?#":
+        host = host.split(c, 1)[0]
+    path = rest[len(host) :].split("?", 1)[0].split("#", 1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in url_filter.RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best and best[0] + best[1], best and best[2]
+
+
+def test_urls_by_brute_force(spark):
+    r = random.Random(12)
+    hosts = ["a.net", "example.net", "www.Example.com", "x.org", "org", "notorg", "sub.example.net", "ÄB.example.com", "news.library.example.org", "hot-deals.example.com", "a:80", ""]
+    tails = ["", "/", "/en/", "/en/1", "/de/", "/fr/x?y=://z/", "?q=/en/", "#/de/", "//en/", "/EN/"]
+    urls = [r.choice(["http://", "https://", "ftp://", "", "://", "a://b://"]) + r.choice(hosts) + r.choice(tails) for _ in range(400)] + ["http://a.example.com/" + "x" * 100_000, "", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"__host": F.lit("clash"), "__score": F.lit("clash"), "host": F.lit(1)})
+    weights, bias = url_filter.train(url_filter.training_table())
+    for row in url_filter.op10(df).collect():
+        host, path, rule, verdict = brute_url(urls[row.page_id])
+        assert (row.host, row.path, row.rule) == (host, path, rule), urls[row.page_id]
+        ids = url_filter.gram_ids(host, path)
+        score = 1 / (1 + np.exp(-(bias + (weights[ids].sum() / len(ids) ** 0.5 if ids else 0))))
+        assert abs(row.score - score) < 1e-5 and row.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
+    judged = url_filter.judge_urls(df)
+    assert judged.columns == ["page_id", "url", "host", "__host", "__path", "__rule", "__score", "__verdict"]
+
+
+def test_bpe_very_long_texts(spark):
+    path, pattern = bpe.tokenizer()
+    r = random.Random(5)
+    base = "".join(r.choice(["the ", "of\n", "12 ", "räksmörgås ", "it's ", "foo_bar;  ", "日本 "]) for _ in range(50_000))
+    texts = [base * 20, base + "7" * 500_000 + base, "a" * 1_000_000, " " * 300_000 + "x", base + "ab" * 40_000 + " " + base]
+    df = docs(spark, list(enumerate(texts))).withColumns({"__ids": F.lit(1), "__n_tokens": F.lit(2), "__decoded": F.lit(3), "row": F.lit(4), "k": F.lit(5)})
+    encoded = bpe.encode(df, path, pattern)
+    assert encoded.columns == ["doc_id", "row", "k", "__n_tokens", "__ids", "__decoded"]
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in bpe.digests(encoded).collect()}
+    assert [got[k] for k in range(len(texts))] == [bpe.brute(t, path, pattern) for t in texts]
+
+
+@pytest.mark.parametrize("unit", ["the räk 12 ", "a", "7"])
+def test_bpe_stitch_is_linear(unit):
+    path, pattern = bpe.tokenizer()
+    codec = bpe.Codec(Path(path).read_bytes(), pattern)
+
+    def took(size):
+        text = unit * (size // len(unit))
+        chunks = [(at, text[at : at + 4096 + 128], bpe.boundaries(codec, text[at : at + 4096 + 128], at + 4096 + 128 >= len(text))) for at in range(0, len(text), 4096)]
+        best = 9.0
+        for _ in range(2):
+            began = time.perf_counter()
+            pieces = bpe.stitch(codec, chunks)
+            best = min(best, time.perf_counter() - began)
+        assert "".join(pieces) == text
+        return best
+
+    assert took(4_000_000) < 8 * took(1_000_000) + 0.05
