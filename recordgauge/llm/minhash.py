@@ -17,13 +17,16 @@ shingles. A pair that shares several keys is compared at the first of them only.
 comparisons that stay grow with (classes outside the head's component) x (classes of the
 key), which is many only where many documents lie just below the similarity.
 
-Scale: signatures are one Arrow pass; table rows are 20 bytes; hot keys are partially
-aggregated, and joins on them read plain tables, whose skewed partitions adaptive execution
-splits; confirmation fetches the whole texts of candidate pairs only.
+Scale: signatures are one Arrow pass; table rows are 28 bytes, made once by evenly dealt
+tasks; hot keys are partially aggregated, and joins on them read plain tables, whose skewed
+partitions adaptive execution splits; confirmation fetches the whole texts of candidate
+pairs only.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own
-component; rows of one doc_id stand for one document; a null doc_id is kept, with a null
-component; other columns are not read; an empty table gives an empty table.
+component; a text of any length counts whole; rows of one doc_id with different texts are
+rows of their own, each with the component of its own text; a null doc_id is kept, with a
+null component; other columns are not read, whatever their names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ HALVES, PER_HALF, PERCENT = 10, 2, 75
 SKETCH = 1024
 #: Up to so many ids of candidates (8 bytes each) are broadcast, so that only their texts are shuffled.
 FEW_IDS = 500_000
+#: Table rows (of some 28 bytes) that one task makes.
+ROWS_A_TASK = 1_000_000
 
 SIGNATURE = T.StructType([
     T.StructField("n_shingles", T.LongType()),
@@ -158,7 +163,10 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     table = F.flatten(F.transform("c0", lambda x, i: F.transform("c1", lambda y, j: F.xxhash64(x, y, i * HALVES + j))))
-    members = classes.filter("n_shingles > 0").select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode(table).alias("slot", "key"))
+    some = classes.filter("n_shingles > 0")
+    # a class becomes HALVES**2 rows: dealt out by their number, so that no task makes more than ROWS_A_TASK
+    some = some.repartition(some.count() * HALVES**2 // ROWS_A_TASK + 1)
+    members = cut(some.select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode(table).alias("slot", "key")))
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail").select("key", "head")
     shared = cut(members.join(heads, "key"))
 
@@ -174,10 +182,9 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     d = star.select(F.col("a").alias("head"), F.col("b").alias("rep"), "distance")
     rows = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("home")).filter("lo <> hi").select("key", "home")
-    short = classes.select("rep", *[F.transform(c, lambda x: F.hash(x)).alias(c) for c in ("c0", "c1")])
     rest = rows.join(spread, "key").filter("rep <> head").join(d, ["head", "rep"], "left")
     rest = cut(rest.select("key", "slot", "rep", "n", "comp", "home", "distance"))
-    own = cut(sketches(few(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()))).join(short, "rep"))
+    own = cut(sketches(few(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()))).join(classes.select("rep", "c0", "c1"), "rep"))
     rest = rest.join(own, "rep")
     x = rest.filter("comp <> home").select("key", "slot", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
     y = rest.select("key", "home", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
