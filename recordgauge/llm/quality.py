@@ -7,26 +7,35 @@ small logistic regression, fitted on labelled texts that no dictionary has seen
 to the label shares of the whole table.
 
 Fitting takes a bounded sample (`PER_CLASS` labelled rows of each class, in the order of
-a hash of doc_id): the first half for the dictionaries, the rest for calibration. It is the
-only part that runs on the driver. Scoring is one Arrow pass over all texts, no shuffle;
-the two dictionaries (112 KB each, a parameter) travel with the function.
+a hash of doc_id): the first half for the dictionaries, the rest for calibration. Only the
+texts for the dictionaries reach the driver, at most `FIT_BYTES` a class and none above
+`FIT_TEXT` bytes; of the rest come their three features. Scoring is one Arrow pass over all
+texts, no shuffle; the two dictionaries (112 KB each, a parameter) travel with the function.
 
 Defined cases: null and empty texts have size 0 and score by the prior of the calibration;
-without labels of both classes every score is 0.5; conflicting labels of one doc_id count
-each; a null doc_id is never held out nor used for fitting; other columns pass through.
+texts of any length are compressed whole; without labels of both classes every score is 0.5;
+conflicting labels of one doc_id count each, as do repeated documents, within the bounds; a
+null doc_id is never held out nor used for fitting; other columns pass through, but one
+named __score gives way to the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordgauge.llm.shingles import slices
+from recordgauge.session import cut
+
 #: Labelled rows per class that are read for fitting; bytes of a dictionary; zstandard's level.
 PER_CLASS, DICT_BYTES, LEVEL = 2000, 112 * 1024, 3
+#: Bytes of text per class, and of one text, from which the dictionaries are trained.
+FIT_BYTES, FIT_TEXT = 32 << 20, 1 << 20
 #: Scores from here on count as good.
 THRESHOLD = 0.3
 
@@ -78,21 +87,31 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     for q in (0, 1):  # per_class rows each: a proven bound for the broadcast and the collect
         part = usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    rows = sorted(texts.collect(), key=lambda r: (r["h"], r["doc_id"], r["text"] or ""))
-    by = {q: [r["text"] or "" for r in rows if r["quality"] == q] for q in (0, 1)}
-    if min(map(len, by.values())) < 8:
+    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    # repeated documents come in again: the bound holds for the rows, too
+    chosen = reduce(DataFrame.unionByName, [texts.filter(F.col("quality") == q).orderBy("h", "doc_id", "text").limit(per_class) for q in (0, 1)])
+    order = Window.partitionBy("quality").orderBy("h", "doc_id", "text")  # at most per_class rows each
+    ranked = chosen.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("quality"))})
+    ranked = ranked.withColumn("first", F.col("rn") <= F.floor(F.col("n") / 2))
+    small = F.when(F.col("first") & (F.col("size") <= FIT_TEXT), F.col("size")).otherwise(0)
+    ranked = cut(ranked.withColumn("upto", F.sum(small).over(order)))
+    counts = {r["quality"]: r["n"] for r in ranked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2 or min(counts.values()) < 8:
         return None
+    kept = ranked.filter(F.col("first") & (F.col("size") > 0) & (F.col("size") <= FIT_TEXT) & (F.col("upto") <= FIT_BYTES))
+    by: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(kept.select("quality", "rn", "text").collect(), key=lambda r: r["rn"]):
+        by[r["quality"]].append(r["text"])
     dictionaries = []
     for q in (1, 0):
-        seen = [t.encode("utf-8", "replace") for t in by[q][: len(by[q]) // 2] if t]
+        seen = [t.encode("utf-8", "replace") for t in by[q]]
         try:
             dictionaries.append(zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, seen)) // 8)), seen, level=LEVEL).as_bytes())
         except zstandard.ZstdError:  # too little text to train from: its bytes are the dictionary
             dictionaries.append(b"\n".join(seen)[:DICT_BYTES] or b"\n" * 8)
-    sizes = Sizes(tuple(dictionaries))
-    rest = [(sizes.features(t), q) for q in (0, 1) for t in by[q][len(by[q]) // 2 :]]
-    x, y = np.array([f for f, _ in rest]), np.array([q for _, q in rest], dtype=float)
+    rest = measured(ranked.filter(~F.col("first")).select("quality", "rn", "text"), tuple(dictionaries)).collect()  # at most per_class rows a class, of numbers
+    rest.sort(key=lambda r: (r["quality"], r["rn"]))
+    x, y = np.array([r["f"] for r in rest]), np.array([r["quality"] for r in rest], dtype=float)
     mean, sd = x.mean(0), x.std(0) + 1e-9
     n = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     total = sum(shares.values())
@@ -100,15 +119,31 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return {"dictionaries": tuple(dictionaries), "mean": mean.tolist(), "sd": sd.tolist(), "w": logistic((x - mean) / sd, y, weight).tolist()}
 
 
+def measured(df: DataFrame, dictionaries: tuple[bytes, bytes]) -> DataFrame:
+    """(quality, rn, f): the features of labelled texts."""
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "text"], T.StructField("f", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        sizes = Sizes(dictionaries)
+        for b in slices(batches):
+            found = [sizes.features(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("rn"), pa.array(found, pa.list_(pa.float64()))], names=schema.names)
+
+    return df.select("quality", "rn", "text").mapInArrow(run, schema)
+
+
 def score(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """`df` with __score appended."""
+    df = df.drop("__score")
     schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         sizes = Sizes(model["dictionaries"]) if model else None
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(text).to_pylist():
                 z = 0.0
