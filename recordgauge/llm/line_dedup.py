@@ -11,8 +11,9 @@ in one shuffle, by row.
 
 Defined cases: a null text is one empty line; rows are the documents (a repeated row counts
 again); keys of fewer than `min_chars` code points never count as frequent; a text that
-loses all its lines becomes ''; an empty table gives an empty table; other columns pass
-through untouched, whatever their names.
+loses all its lines becomes ''; a text of any length is split whole; an empty table gives an
+empty table; other columns pass through untouched, whatever their names, but __n_lines and
+__n_dropped, which give way to the results.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ def line_dedup(df: DataFrame, text: str = "text", min_docs: int = 10, min_chars:
     hot = cut(frequent_keys(df, text, min_docs, min_chars))
     if hot.limit(broadcast_keys + 1).count() <= broadcast_keys:
         hot = F.broadcast(hot)
-    others = [c for c in df.columns if c != text]
-    whole = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in others]).alias("__rest"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("__lines"))
+    df = df.drop("__n_lines", "__n_dropped")
+    place = {c: f"c{k}" for k, c in enumerate(df.columns) if c != text}
+    whole = df.select(F.monotonically_increasing_id().alias("__row"), F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(at) for c, at in place.items()]).alias("__rest"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("__lines"))
     lines = whole.select("__row", "__rest", F.posexplode("__lines").alias("__pos", "__line"))
     lines = lines.select("__row", F.when(F.col("__pos") == 0, F.col("__rest")).alias("__rest"), "__pos", "__line", *hashed(key_of(ascii_lower(F.col("__line")))))
     marked = lines.join(hot.withColumn("__hot", F.lit(True)), ["__h1", "__h2"], "left")
@@ -67,7 +69,7 @@ def line_dedup(df: DataFrame, text: str = "text", min_docs: int = 10, min_chars:
         F.sort_array(F.collect_list(kept)).alias("__kept"),
     )
     joined = F.array_join(F.col("__kept.__line"), "\n")
-    return back.select(*[joined.alias(c) if c == text else F.col(f"__rest.`{c}`").alias(c) for c in df.columns], "__n_lines", "__n_dropped")
+    return back.select(*[joined.alias(c) if c == text else F.col(f"__rest.{place[c]}").alias(c) for c in df.columns], "__n_lines", "__n_dropped")
 
 
 def op4(documents: DataFrame) -> DataFrame:
