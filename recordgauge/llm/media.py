@@ -13,9 +13,11 @@ runs again replaces its own files. Nothing is collected; the planner lists file
 sizes only. Any store that pyarrow.fs opens will do for the archives; the input table is
 read by Spark.
 
-Defined cases: a null text is empty (one block of padding); repeated and null ids are kept,
-one member a row; an empty table makes no archive and reads back empty; members that still
-fail after RETRIES raise, or come back with `error` set when `permissive` is "true".
+Defined cases: a null text is empty (one block of padding); a text of any length is one
+member; ids of any type, repeated and null ones too, are kept, one member a row, in the
+member's name as quoted text; other columns are not read, whatever their names; an empty
+table makes no archive and reads back empty; members that still fail after RETRIES raise, or
+come back with `error` set when `permissive` is "true".
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +110,7 @@ def write_archives(df: DataFrame, key: str, text: str, folder: str, archive_byte
                     temp = f"{base}/.part-{part:06d}-{made:04d}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temp)
                     box = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
-                box.writestr(zipfile.ZipInfo(f"{row}-{'' if k is None else k}-{n}.wav"), media, zipfile.ZIP_DEFLATED, 1)
+                box.writestr(zipfile.ZipInfo(f"{row}-{'!' if k is None else quote(str(k), safe='')}-{n}.wav"), media, zipfile.ZIP_DEFLATED, 1)
                 row += 1
         close()
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64())], names=["rows"])
@@ -214,8 +217,8 @@ def features(samples: bytes) -> str:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id and digests of WAV members, from the stored bytes."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    """The key, as text, and digests of WAV members, from the stored bytes."""
+    schema = "key string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def run(batches):
         import hashlib
@@ -227,8 +230,8 @@ def describe(media: DataFrame) -> DataFrame:
             for name, media in zip(b.column("member").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 key, n = name.removesuffix(".wav").partition("-")[2].rsplit("-", 1)
                 raw = from_wav(media)
-                out.append((int(key) if key else None, int(n), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(raw)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((None if key == "!" else unquote(key), int(n), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(raw)))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     return media.select("member", "payload").mapInArrow(run, schema)
@@ -240,4 +243,5 @@ def op5(documents: DataFrame) -> DataFrame:
     write_archives(documents, "doc_id", "text", folder)
     gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
     gone.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(gone)
-    return describe(read_archives(spark, folder))
+    done = describe(read_archives(spark, folder))
+    return done.select(F.col("key").cast(documents.schema["doc_id"].dataType).alias("doc_id"), *done.columns[1:])
