@@ -553,3 +553,79 @@ def test_bpe_stitch_is_linear(unit):
         return best
 
     assert took(4_000_000) < 8 * took(1_000_000) + 0.05
+
+
+def test_quality_by_brute_force(spark):
+    import zstandard
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(r.randint(2, 7)))
+    texts = [" ".join(word() if k < 60 else word().upper() + "##" for _ in range(r.randint(1, 120))) for k in range(120)] + ["", None, "x" * 300_000]
+    d = docs(spark, [*enumerate(texts), (0, texts[0])]).withColumns({"__score": F.lit("clash"), "quality": F.lit("clash")})
+    labels = spark.createDataFrame([(k, int(k < 60), 0) for k in range(120)] + [(5, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(d, labels)
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in model["dictionaries"]]
+    rows = quality.op3(d, labels).collect()
+    assert len(rows) == len(texts) + 1 and quality.score(d, model).columns == ["doc_id", "text", "quality", "__score"]
+    for row in rows:
+        data = (texts[row.doc_id] or "").encode()
+        good, bad = (len(p.compress(data)) for p in packers)
+        f = ((good - bad) / len(data), (good - bad) / (good + bad), min(good, bad) / len(data)) if data else (0.0, 0.0, 0.0)
+        z = model["w"][3] + sum(w * (v - m) / s for w, v, m, s in zip(model["w"], f, model["mean"], model["sd"], strict=False))
+        assert abs(row.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert row.predicted == int(row.score >= 0.3) and row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_fit_is_bounded(spark, monkeypatch):
+    d = docs(spark, [(k, f"{'good' if k % 2 else 'BAD!'} text {k} " * (50 if k > 3 else 5000)) for k in range(80)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "FIT_BYTES", 4000)
+    monkeypatch.setattr(quality, "FIT_TEXT", 2000)
+    model = quality.fit(d, labels, 30)
+    assert sum(map(len, model["dictionaries"])) < 20_000
+
+
+def test_lines_with_clashing_columns(spark):
+    rows = [(k, f"hot\nown{k}") for k in range(12)] + [(99, "hot\n" * 200_000 + "end")]
+    df = docs(spark, rows).withColumns({"__n_lines": F.lit("x"), "__n_dropped": F.lit("x"), "__": F.lit("a"), "__row": F.lit("b"), "__rest": F.lit("c"), "c0": F.lit("d"), "__h1": F.lit("e")})
+    out = line_dedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "__", "__row", "__rest", "c0", "__h1", "__n_lines", "__n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[3].text, got[3]["__"], got[3]["__rest"], got[3]["c0"]) == ("own3", "a", "c", "d")
+    assert (got[99].text, got[99]["__n_lines"], got[99]["__n_dropped"]) == ("end", 200_001, 200_000)
+
+
+def test_media_of_text_ids_and_clashing_columns(spark):
+    rows = [("a-b/c", "one"), ("!", "two"), (None, "three"), ("", "x" * 3_000_000), ("ü 1", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"member": F.lit(1), "payload": F.lit(2), "key": F.lit(3)})
+    got = {r.doc_id: (r.n_bytes, r.payload_bytes) for r in media.op5(df).collect()}
+    assert got == {k: (len((t or "").encode()), len(media.padded(t)[1])) for k, t in rows}
+
+
+def test_near_duplicates_in_a_hot_key(spark):
+    """Hundreds of texts that share much less than the threshold, and near copies among them: keys are hot, links are few."""
+    r = random.Random(13)
+    shared = [f"s{k}" for k in range(120)]
+    texts = []
+    for g in range(150):
+        own = shared + [f"o{g}x{k}" for k in range(60)]
+        texts.append(" ".join(own))
+        if g % 10 == 0:
+            own[-1] = "changed"
+            texts.append(" ".join(own))
+    texts += [" ".join(shared + [f"z{k}" for k in range(5 * m)]) for m in range(8)]  # a chain of growing texts
+    r.shuffle(texts)
+    t = list(enumerate(texts))
+    d = docs(spark, [*t, (3, texts[0]), (len(t), "w " * 100_000)]).withColumns({"rep": F.lit(1), "key": F.lit(2), "set_id": F.lit(3)})
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in minhash.op6(d).collect()}
+    for k, n, c in brute_near(t):
+        assert got[(k, n)] == c or k == 3
+    assert got[(len(t), 1)] == len(t)
+
+
+def test_decontamination_with_clashing_columns(spark):
+    b = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    d = docs(spark, [(1, "say one two three four five six"), (2, "nothing"), (2, "nothing")]).withColumns({"item_id": F.lit("x"), "start": F.lit(1), "distance": F.lit(2)})
+    kept = decontaminate.decontaminate(d, b)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2, 2]
+    assert [tuple(r) for r in decontaminate.op8(d, b).collect()] == [(1, 7, 1, 6, 0)]
