@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordgauge.functions.fields import DATE_FIELDS
-from recordgauge.functions.text import strip
+from recordgauge.functions.text import bound, strip
 
 TYPE = "struct<precision:string,y:int,m:int,d:int>"
 
@@ -21,26 +21,33 @@ def full_year(y: Column) -> Column:
     return F.when(y <= 68, y + 2000).otherwise(y + 1900)
 
 
-def date_key(c: Column) -> Column:
-    """D3: struct(precision, y, m, d), or null if it is no date. Numbers go by their text."""
-    s = strip(c.cast("string"))
-    day, month, year = r"\A([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})\z", r"\A([0-9]{1,2})/([0-9]{4})\z", r"\A([0-9]{4})\z"
+#: Month, day and year; month and year; or a year.
+PATTERN = r"\A(?:[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{2}|[0-9]{4})|[0-9]{1,2}/[0-9]{4}|[0-9]{4})\z"
 
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(s, pattern, k).try_cast("int")
 
-    y3 = F.when(F.char_length(F.regexp_extract(s, day, 3)) == 2, full_year(part(day, 3))).otherwise(part(day, 3))
-    real = (y3 >= 1) & F.try_make_timestamp(y3, part(day, 1), part(day, 2), F.lit(0), F.lit(0), F.lit(0)).isNotNull()
+def date_key(c: Column) -> Column:
+    """D3: struct(precision, y, m, d), or null if it is no date. Numbers go by their text."""
     none = F.lit(None).cast("int")
 
     def key(precision: str, y: Column, m: Column, d: Column) -> Column:
         return F.struct(F.lit(precision).alias("precision"), y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
 
-    return (
-        F.when(s.rlike(day) & real, key("day", y3, part(day, 1), part(day, 2)))
-        .when(s.rlike(month) & part(month, 1).between(1, 12) & (part(month, 2) >= 1), key("month", part(month, 2), part(month, 1), none))
-        .when(s.rlike(year) & (part(year, 1) >= 1), key("year", part(year, 1), none, none))
-    )
+    def of(a: Column) -> Column:
+        # a: the numbers, and whether the year has two digits
+        n, p = a["n"], [a["n"][k] for k in range(3)]
+        year = F.when(a["short"], full_year(p[2])).otherwise(p[2])
+        real = (year >= 1) & F.try_make_timestamp(year, p[0], p[1], F.lit(0), F.lit(0), F.lit(0)).isNotNull()
+        return (
+            F.when((F.size(n) == 3) & real, key("day", year, p[0], p[1]))
+            .when((F.size(n) == 2) & p[0].between(1, 12) & (p[1] >= 1), key("month", p[1], p[0], none))
+            .when((F.size(n) == 1) & (p[0] >= 1), key("year", p[0], none, none))
+        )
+
+    def parts(s: Column) -> Column:
+        numbers = F.transform(F.split(s, "/"), lambda x: x.cast("int"))
+        return F.when(s.rlike(PATTERN), bound(F.struct(numbers.alias("n"), s.rlike(r"/[0-9]{2}\z").alias("short")), of))
+
+    return bound(strip(c.cast("string")), parts)
 
 
 def date_text(c: Column) -> Column:

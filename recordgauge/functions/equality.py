@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordgauge.functions.dates import date_key
-from recordgauge.functions.fields import DATE_FIELDS, TOLERANCE
-from recordgauge.functions.nulls import is_null
-from recordgauge.functions.text import collapse_ws
+from recordgauge.functions.fields import DATE_FIELDS, NULL_ALIASES, TOLERANCE
+from recordgauge.functions.text import bound, collapse_ws
 
 #: What a string must look like to be a number: digits may be parted by single underscores.
 NUMBER = r"(?i)\A[+-]?(?:(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+(?:_[0-9]+)*)?|inf(?:inity)?|nan)\z"
@@ -23,23 +22,35 @@ def normalised(c: Column, field: str | None = None, digits: int | None = None) -
     """E1 (digits None) or E3 (digits 3): struct(num, txt, date); null for a semantic null.
 
     Values come as text (or as numbers, which are cast)."""
-    s = F.lower(collapse_ws(c.cast("string")))
-    num = number_of(s)
-    if digits is not None:
-        num = F.bround(num, digits)
     dated = field is not None and field.rsplit(".", 1)[-1] in DATE_FIELDS
-    date = date_key(c) if dated else F.lit(None).cast("struct<precision:string,y:int,m:int,d:int>")
-    plain = date.isNull()
-    return F.when(~is_null(c.cast("string")), F.struct(F.when(plain, num).alias("num"), F.when(plain & num.isNull(), s).alias("txt"), date.alias("date")))
+    none = F.lit(None).cast("struct<precision:string,y:int,m:int,d:int>")
+
+    def of(s: Column) -> Column:
+        def typed(x: Column) -> Column:
+            plain = x["date"].isNull()
+            return F.struct(F.when(plain, x["num"]).alias("num"), F.when(plain & x["num"].isNull(), s).alias("txt"), x["date"].alias("date"))
+
+        num = number_of(s)
+        num = num if digits is None else F.bround(num, digits)
+        return F.when(~s.isin(*NULL_ALIASES), bound(F.struct(num.alias("num"), (date_key(s) if dated else none).alias("date")), typed))
+
+    return bound(F.lower(collapse_ws(c.cast("string"))), of)
 
 
 def values_equal(a: Column, b: Column, field: str | None = None, digits: int | None = None, tolerance: float = TOLERANCE) -> Column:
     """E2 (digits None) or E4 (digits 3). NaN equals nothing."""
-    x, y = normalised(a, field, digits), normalised(b, field, digits)
-    near = F.abs(x["num"] - y["num"]) <= tolerance
-    both = x["num"].isNotNull() & y["num"].isNotNull()
-    same = x["num"].isNull() & y["num"].isNull() & x["txt"].eqNullSafe(y["txt"]) & x["date"].eqNullSafe(y["date"])
-    return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise(F.when(both, ~F.isnan(x["num"]) & ~F.isnan(y["num"]) & near).otherwise(same))
+
+    def same(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        near = F.abs(x["num"] - y["num"]) <= tolerance
+        both = x["num"].isNotNull() & y["num"].isNotNull()
+        text = x["num"].isNull() & y["num"].isNull() & x["txt"].eqNullSafe(y["txt"]) & x["date"].eqNullSafe(y["date"])
+        return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise(F.when(both, ~F.isnan(x["num"]) & ~F.isnan(y["num"]) & near).otherwise(text))
+
+    full = bound(F.struct(normalised(a, field, digits).alias("x"), normalised(b, field, digits).alias("y")), same)
+    # one text twice is equal without further work, but for what may read as NaN or infinite
+    odd = F.coalesce(a.cast("string").rlike("(?i)nan|inf"), F.lit(False))
+    return F.when(a.cast("string").eqNullSafe(b.cast("string")) & ~odd, True).otherwise(full)
 
 
 def numbers_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:

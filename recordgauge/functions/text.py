@@ -13,6 +13,11 @@ ID_PREFIX = r"(?i)\A(?:imageid|seriesid|image|img|series|ser|id)[\s:_#-]*"
 TOKEN = "A-Za-z0-9_"
 
 
+def bound(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
@@ -175,15 +180,18 @@ def first_token_difference(a: Column, b: Column) -> Column:
 
 def runaway_suffix(c: Column, threshold: int = 64) -> Column:
     """T-17: a block of 1 to 32 characters, not blank, repeated to the end max(8, ceil(threshold / period)) times."""
-    size = max(4096, threshold * 64)
-    tail = F.right(F.coalesce(c, F.lit("")), F.lit(size))
-
-    def loops(p: Column) -> Column:
-        n = F.greatest(F.lit(8), F.ceil(F.lit(threshold) / p).cast("int"))
-        block = F.right(tail, p)
-        return (F.char_length(tail) >= p * n) & (strip(block) != "") & tail.endswith(F.repeat(block, n))
-
-    return F.exists(F.sequence(F.lit(1), F.lit(32)), loops)
+    lengths = {p: p * max(8, -(-threshold // p)) for p in range(1, 33)}
+
+    def loops(tail: Column) -> Column:
+        out = F.lit(False)
+        for p, size in lengths.items():
+            # what repeats a block of p is itself again p characters on
+            end = F.right(tail, F.lit(size))
+            again = F.left(end, F.lit(size - p)) == F.right(tail, F.lit(size - p))
+            out = out | ((F.char_length(tail) >= size) & again & F.right(tail, F.lit(p)).rlike(r"(?U)\S"))
+        return out
+
+    return bound(F.right(F.coalesce(c, F.lit("")), F.lit(max(lengths.values()))), loops)
 
 
 def user_text(instruction: Column, given: Column) -> Column:

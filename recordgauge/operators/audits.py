@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordgauge.functions.text import classify_instruction, sha256_text
+from recordgauge.session import cut
 
 #: The settings that must agree between the arms of an audit, and between a run and its repeat.
 SFT_FIELDS = ("model", "dataset", "seed", "temperature", "top_p", "max_new_tokens")
@@ -50,9 +51,22 @@ def prompt_tokens(a: DataFrame, b: DataFrame, key: list[str], c: str) -> DataFra
 
 
 def numbered(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """Positions from 0 in a stated order. Pass `within` at scale: without it one task orders all rows."""
-    w = Window.partitionBy(*(within or [])).orderBy(*order) if within else Window.orderBy(*order)
-    return df.withColumn("pos", F.row_number().over(w) - 1)
+    """Positions from 0 in a stated order, within groups or over all rows.
+
+    Over all rows these are sorted by ranges, written once, and numbered by their range's
+    first position; only the ranges' sizes reach the driver."""
+    if within:
+        return df.withColumn("pos", (F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1).cast("long"))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id()
+    spread = cut(spread.withColumns({"__part": F.shiftright(own, 33), "__own": own.bitwiseAND((1 << 33) - 1)}))
+    sizes = sorted((r["__part"], r["n"]) for r in spread.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "__part long, __first long"))  # one row a partition
+    return spread.join(first, "__part").withColumn("pos", F.col("__first") + F.col("__own")).drop("__part", "__own", "__first")
 
 
 def zip_join(a: DataFrame, b: DataFrame, within: list[str], compare: list[str]) -> DataFrame:

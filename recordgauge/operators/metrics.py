@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordgauge.functions.text import plausible_context, round_up, safe_div
@@ -67,28 +67,44 @@ def with_change(df: DataFrame, base: Column, other: Column, tolerance: float = 1
     return df.withColumns({"delta": delta, "points": 100 * delta, "relative_pct": F.when(base != 0, 100 * delta / base), "label": label})
 
 
-def token_stats(df: DataFrame, by: list[str], c: str, p: float = 0.95) -> DataFrame:
-    """Total, mean, median, min, max and nearest-rank P95 by group; nulls skipped.
+def ranked_values(df: DataFrame, by: list[str], c: str) -> DataFrame:
+    """Distinct values of c by group with their number (k), the rows up to them (upto) and the group's rows (n); nulls count none.
+
+    Order statistics come from these few rows, so that no group's values meet in one list."""
+    freq = df.groupBy(*by, c).agg(F.count(c).alias("k"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = F.sum("k").over(group.orderBy(F.col(c).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return freq.withColumns({"upto": upto, "n": F.sum("k").over(group)})
+
 
-    The P95 comes from value frequencies and running sums, so no group's values meet in one list."""
-    from pyspark.sql import Window
+def at_rank(c: str, index: Column) -> Column:
+    """The value at a rank from 0, as an aggregate over `ranked_values`."""
+    return F.min(F.when(F.col("upto") > index, F.col(c)))
 
-    stats = df.groupBy(*by).agg(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("total"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
-    freq = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("__k"))
-    w = Window.partitionBy(*by).orderBy(c)
-    below = freq.select(*by, F.col(c).alias("p95"), F.sum("__k").over(w).alias("__upto"))
-    need = stats.select(*by, F.rint((F.col("n") - 1) * F.lit(p)).alias("__index"))
-    on = [below[b].eqNullSafe(need[b]) for b in by]
-    at = below.join(need, on).filter(F.col("__upto") > F.col("__index")) if by else below.crossJoin(need).filter(F.col("__upto") > F.col("__index"))
-    at = at.groupBy(*[below[b] for b in by]).agg(F.min("p95").alias("p95"))
-    on = [stats[b].eqNullSafe(at[b]) for b in by]
-    return (stats.join(at, on, "left") if by else stats.crossJoin(at)).select(*[stats[b] for b in by], *[stats[x] for x in ("total", "mean", "median", "min", "max", "n")], "p95")
+
+def linear(c: str, p: float) -> Column:
+    """Linear-interpolated quantile, as an aggregate over `ranked_values`."""
+    place = (F.col("n") - 1) * F.lit(p)
+    low, high = at_rank(c, F.floor(place)), at_rank(c, F.ceil(place))
+    return low + (high - low) * F.max(place - F.floor(place))
+
+
+def token_stats(df: DataFrame, by: list[str], c: str, p: float = 0.95) -> DataFrame:
+    """Total, mean, median, min, max and nearest-rank P95 by group; nulls skipped."""
+    r = ranked_values(df, by, c)
+    total, n = F.sum(F.col(c) * F.col("k")), F.sum("k")
+    return r.groupBy(*by).agg(
+        F.coalesce(total, F.lit(0)).cast("long").alias("total"), F.try_divide(total.cast("double"), n.cast("double")).alias("mean"), linear(c, 0.5).cast("double").alias("median"),
+        F.min(c).alias("min"), F.max(c).alias("max"), n.alias("n"), at_rank(c, F.rint((F.col("n") - 1) * F.lit(p))).alias("p95"),
+    )
 
 
 def length_stats(df: DataFrame, by: list[str], c: str) -> DataFrame:
     """Linear percentiles 90, 95 and 99 with min, mean, median and max."""
-    q = F.percentile(c, F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.median(c).alias("median"), q[0].alias("p90"), q[1].alias("p95"), q[2].alias("p99"), F.max(c).alias("max"))
+    r = ranked_values(df, by, c)
+    mean = F.try_divide(F.sum(F.col(c) * F.col("k")).cast("double"), F.sum("k").cast("double"))
+    q = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    return r.groupBy(*by).agg(F.min(c).alias("min"), mean.alias("mean"), *[linear(c, p).cast("double").alias(k) for k, p in q.items()], F.max(c).alias("max"))
 
 
 def recommend_context(df: DataFrame, by: list[str], prompt: str, gold: str, allowance: int, buffer: int, multiple: int, native: int) -> DataFrame:
@@ -132,8 +148,6 @@ def presence_summary(df: DataFrame, by: list[str]) -> DataFrame:
 
 def share_within(df: DataFrame, by: list[str], what: str) -> DataFrame:
     """Counts of `what` and their share within the group."""
-    from pyspark.sql import Window
-
     n = df.groupBy(*by, what).agg(F.count("*").alias("n"))
     return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 3))
 

@@ -46,8 +46,11 @@ def evidence(df: DataFrame, by: list[str], order: str, value: str, k: int = 20)
     """The first k values of each group; others are counted, not gathered."""
     from pyspark.sql import Window
 
-    rn = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(order, value)))
-    return rn.groupBy(*by).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.when(F.col("__rn") <= k, F.struct("__rn", value)))), lambda x: x[value]).alias("first"))
+    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    # ranks above k go before the shuffle, group by group
+    top = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(order, value))).filter(F.col("__rn") <= k)
+    first = top.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.transform(F.sort_array(F.collect_list(F.struct("__rn", value))), lambda x: x[value]).alias("first"))
+    return n.join(first, [n[b].eqNullSafe(first[f"__{b}"]) for b in by]).select(*by, "n", "first")
 
 
 def effects(df: DataFrame, by: list[str], regime: str, value: str) -> DataFrame:
