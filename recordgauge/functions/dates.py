@@ -50,6 +50,27 @@ def date_key(c: Column) -> Column:
     return bound(strip(c.cast("string")), parts)
 
 
+def date_value(text: str) -> tuple | None:
+    """D3 of one text: (precision, year, month, day)."""
+    import datetime
+    import re
+
+    s = text.strip()
+    if not re.fullmatch(PATTERN.replace(r"\A", "").replace(r"\z", ""), s):
+        return None
+    n = [int(x) for x in s.split("/")]
+    if len(n) == 3:
+        year = n[2] if len(s.rsplit("/", 1)[1]) == 4 else n[2] + (2000 if n[2] <= 68 else 1900)
+        try:
+            datetime.date(year, n[0], n[1])
+        except ValueError:
+            return None
+        return "day", year, n[0], n[1]
+    if len(n) == 2:
+        return ("month", n[1], n[0]) if 1 <= n[0] <= 12 and n[1] else None
+    return ("year", n[0]) if n[0] else None
+
+
 def date_text(c: Column) -> Column:
     """A date key as text, for joins and digests."""
     k = date_key(c)

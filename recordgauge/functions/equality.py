@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordgauge.functions.dates import date_key
+from recordgauge.functions import jsonx
+from recordgauge.functions.dates import date_key, date_value
 from recordgauge.functions.fields import DATE_FIELDS, NULL_ALIASES, TOLERANCE
 from recordgauge.functions.text import bound, collapse_ws
 
@@ -53,6 +54,24 @@ def values_equal(a: Column, b: Column, field: str | None = None, digits: int | N
     return F.when(a.cast("string").eqNullSafe(b.cast("string")) & ~odd, True).otherwise(full)
 
 
+def plain_equal(a, b, field: str | None = None, tolerance: float = TOLERANCE) -> bool:
+    """E2 of two parsed values, for code that runs outside of expressions."""
+
+    def normal(v):
+        if jsonx.is_null_value(v):
+            return None
+        s = " ".join(str(v).split()).lower()
+        if field is not None and field.rsplit(".", 1)[-1] in DATE_FIELDS and (key := date_value(s)):
+            return key
+        n = jsonx.number_value(s)
+        return s if n is None else n
+
+    x, y = normal(a), normal(b)
+    if isinstance(x, float) and isinstance(y, float):
+        return abs(x - y) <= tolerance
+    return x == y
+
+
 def numbers_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """The same rule where both sides are numbers already: stays in generated code."""
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(a - b) <= tolerance)

@@ -9,7 +9,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordgauge.functions.jsonx import MISSING, loads
+from recordgauge.functions.jsonx import MISSING, loads, over_text
 
 
 class Fault(NamedTuple):
@@ -65,6 +65,7 @@ def faults(v: Any, schema: dict, path: str = "$") -> Iterator[Fault]:
         yield from nearest(v, schema["anyOf"], path)
         return
     if not has_type(v, schema.get("type"), True):
+        # the texts of the messages are fixed values
         yield Fault(path, f"expected {schema['type']}, got {type(v).__name__}", "type")
         return
     yield from bounds(v, schema, path)
@@ -120,6 +121,11 @@ def validate_json(c: Column, schema: dict) -> Column:
     return F.pandas_udf(run, RESULT)(c)
 
 
+def messages_json(c: Column, schema: dict) -> Column:
+    """V2 over JSON text, as array<string>."""
+    return over_text(lambda v: messages(None if (got := loads(v)) is MISSING else got, schema), "array<string>")(c)
+
+
 def flat_faults(columns: dict[str, Column], schema: dict) -> Column:
     """V1 for flat records whose properties are columns, without Python: the number of faults."""
     total = F.lit(0)

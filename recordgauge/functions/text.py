@@ -216,9 +216,23 @@ def plausible_context(v: Column) -> Column:
     return F.when(v.between(1, 9_999_999), v)
 
 
-def first_plausible(columns: list[Column]) -> Column:
-    """M-3."""
-    return F.coalesce(*[plausible_context(c) for c in columns])
+#: Where a model's configuration states its context, in order of preference (fixed values).
+CONTEXT_KEYS = (
+    "text_config.max_position_embeddings",
+    "config.max_position_embeddings",
+    "text_config.max_sequence_length",
+    "config.max_sequence_length",
+    "text_config.seq_length",
+    "config.seq_length",
+    "text_config.n_positions",
+    "config.n_positions",
+    "tokenizer.model_max_length",
+)
+
+
+def native_context(columns: list[str]) -> Column:
+    """M-3: the first plausible of CONTEXT_KEYS among the columns."""
+    return F.coalesce(*[plausible_context(F.col(f"`{k}`")) for k in CONTEXT_KEYS if k in columns], F.lit(None).cast("long"))
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -227,15 +241,36 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def short_feature(c: Column) -> Column:
-    """A feature's name without the list's."""
-    return F.regexp_replace(c, r"\ANodules\.", "")
+    """A feature's name without the list's, underscores as spaces."""
+    return F.replace(F.regexp_replace(c, r"\ANodules\.", ""), F.lit("_"), F.lit(" "))
+
+
+def rounded_text(c: Column, digits: int, form: str = "%.{}f") -> Column:
+    """A number with fixed decimals, ties to the even digit (as the C library prints them); zero keeps its sign."""
+    c = c.cast("double")
+    near = F.bround(c, digits)
+    return F.format_string(form.format(digits), F.when((near == 0) & ((c < 0) | (F.hex(c.cast("string")) == F.hex(F.lit("-0.0")))), F.lit(-0.0)).otherwise(near))
 
 
 def fixed(c: Column, digits: int = 4) -> Column:
-    """Fixed decimals; null gives ''."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("")) if digits >= 0 else c
+    """Fixed decimals; null gives ''."""
+    return F.when(c.isNull(), "").otherwise(rounded_text(c, digits))
+
+
+def signed(c: Column, digits: int = 2) -> Column:
+    """A change with its sign."""
+    return rounded_text(c, digits, "%+.{}f")
+
+
+def spanned(point: Column, low: Column, high: Column) -> Column:
+    return F.concat(point, F.lit(" ("), low, F.lit(", "), high, F.lit(")"))
 
 
 def interval_text(point: Column, low: Column, high: Column, digits: int = 3) -> Column:
-    """N19: 'point [low, high]'."""
-    return F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", point, low, high)
+    """N19: 'point (low, high)'."""
+    return spanned(*[rounded_text(c, digits) for c in (point, low, high)])
+
+
+def change_text(point: Column, low: Column, high: Column, digits: int = 2) -> Column:
+    """A change and its interval in points, signed."""
+    return spanned(*[signed(100 * c, digits) for c in (point, low, high)])

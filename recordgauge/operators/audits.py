@@ -85,6 +85,39 @@ def same_examples(a: DataFrame, b: DataFrame, key: list[str], compare: list[str]
     return d.agg(F.coalesce(F.bool_and(good), F.lit(True)).alias("same"))
 
 
+def anchor_equality(arms: DataFrame, key: str, value: str, arm: str, n: int) -> DataFrame:
+    """(key, rows, arms, values, same): whether each of n arms holds the key once, and all with one value."""
+    by = arms.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(arm).alias("arms"), F.count_distinct(value).alias("values"), F.count_if(F.col(value).isNull()).alias("__nulls"))
+    one = (F.col("values") == 1) & (F.col("__nulls") == 0) | (F.col("values") == 0)
+    return by.withColumn("same", (F.col("rows") == n) & (F.col("arms") == n) & one).drop("__nulls")
+
+
+#: Rows up to which a lookup table is broadcast.
+LOOKUP_ROWS = 100_000
+
+
+def lookup(df: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the columns of the table's row of equal key, or nulls; the table's keys must be unique.
+
+    The table is broadcast if it is counted to be small, else joined by a shuffle."""
+    require_unique(table, key, "lookup table")
+    small = table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return df.join(F.broadcast(table) if small else table, key, "left")
+
+
+def combinations(*names: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Every combination of small dimensions (models, configurations, contrasts); their product is counted first."""
+    product = 1
+    for d in names:
+        product *= d.count()
+    if product > limit:
+        raise ValueError(f"{product} combinations are more than {limit}")
+    out = names[0]
+    for d in names[1:]:
+        out = out.join(d)  # counted above
+    return out
+
+
 def set_checks(a: DataFrame, b: DataFrame, c: str) -> DataFrame:
     """Sizes of the differences and of the common part of two value sets."""
     x, y = a.select(F.col(c).alias("v")).distinct(), b.select(F.col(c).alias("v")).distinct()

@@ -10,6 +10,8 @@ Arrow function, with the small per-report contributions as a matrix (their size
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,116 @@ def draws(spark: SparkSession, iterations: int, n: int) -> DataFrame:
 
 
 def weights(rng: np.random.Generator, iterations: int, n: int) -> np.ndarray:
-    """Multiplicities (iterations, n) from a generator; call in the order all, positives, negatives."""
-    out = np.zeros((iterations, n), dtype=np.int32)
-    for b in range(iterations):
-        out[b] = np.bincount(rng.integers(0, n, n), minlength=n)
-    return out
+    """Multiplicities (iterations, n) of one call to a generator."""
+    drawn = rng.integers(0, n, size=(iterations, n), dtype=np.int32)
+    flat = drawn + (np.arange(iterations, dtype=np.int64) * n)[:, None]
+    return np.bincount(flat.ravel(), minlength=iterations * n).reshape(iterations, n).astype(np.int32)
+
+
+def weight_sets(iterations: int, n: int, positives: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """R2: the weights of all, of the positive and of the negative reports, drawn in this order from one generator."""
+    rng = np.random.default_rng(seed)
+    return tuple(weights(rng, iterations, k) if k else np.zeros((iterations, 0), dtype=np.int32) for k in (n, positives, n - positives))
+
+
+def _f1(t: np.ndarray) -> np.ndarray:
+    """F1 over a last axis of TP, FP, FN; NaN without events."""
+    den = 2 * t[..., 0] + t[..., 1] + t[..., 2]
+    return np.divide(2 * t[..., 0], den, out=np.full(den.shape, np.nan), where=den > 0)
+
+
+def _weighted(t: np.ndarray) -> np.ndarray:
+    """Support-weighted mean of feature F1 over axes (..., feature, [support, TP, FP, FN])."""
+    f1, support = np.nan_to_num(_f1(t[..., 1:])), t[..., 0]
+    total = support.sum(axis=-1)
+    return np.divide((f1 * support).sum(axis=-1), total, out=np.full(total.shape, np.nan), where=total > 0)
+
+
+def _interval(x: np.ndarray) -> tuple[float | None, float | None, int]:
+    good = x[np.isfinite(x)]
+    return (float(np.percentile(good, 2.5)), float(np.percentile(good, 97.5)), len(good)) if len(good) else (None, None, 0)
+
+
+PUBLISHED = "model string, config string, metric string, feature string, point double, ci_low double, ci_high double, n_valid bigint"
+
+
+def published(contributions: DataFrame, n: int, contrasts: dict[str, tuple[str, str]], iterations: int = ITERATIONS, seed: int = SEED, limit: int = MATRIX_CELLS) -> DataFrame:
+    """R1-R8 as published: points and intervals of every arm and contrast, by model.
+
+    contributions: (model, config, idx 0..n-1, positive, feature, gold_appearances, TP, FP,
+    FN). Metrics: micro_f1 over the supported features, weighted_f1 with support re-estimated
+    in each replicate, feature_f1, positive_f1 and negative_fp_rate under draws of their own,
+    and delta:<name> of a contrast (first, second): second minus first, replicate by
+    replicate. All draws come from one generator, and are the same in every task. A feature
+    is supported if any gold of the cohort holds it. A model's cells (configurations x
+    reports x features x 4) are checked before they meet in one task."""
+    features = sorted(r["feature"] for r in contributions.select("feature").distinct().limit(10_001).collect())  # a schema's features
+    if len(features) > 10_000 or n * len(features) * 4 > limit:
+        raise ValueError("too many reports or features for one matrix: use micro_distribution")
+
+    def run(key, rows):
+        import pandas as pd
+
+        configs, at = sorted(rows["config"].unique()), {f: k for k, f in enumerate(features)}
+        positive = np.zeros(n, dtype=bool)
+        positive[rows["idx"][rows["positive"].astype(bool)].unique()] = True
+        everyone, pos, neg = weight_sets(iterations, n, int(positive.sum()), seed)
+        arrays, out, boots = {}, [], {}
+        for c in configs:
+            own = rows[rows["config"] == c]
+            m = np.zeros((n, len(features), 4))
+            np.add.at(m, (own["idx"].to_numpy(), own["feature"].map(at).to_numpy()), own[["gold_appearances", "TP", "FP", "FN"]].to_numpy(dtype=float))
+            arrays[c] = m
+        support = arrays[configs[0]][:, :, 0].sum(axis=0)
+        held = support > 0
+        for c in configs:
+            m = arrays[c]
+            per_case = m[:, held, 1:].sum(axis=1)
+
+            def say(metric, point, boot, feature=None, c=c):
+                boots[c, metric, feature] = (point, boot)
+                out.append((*key, c, metric, feature, None if not np.isfinite(point) else float(point), *_interval(boot)))
+
+            say("micro_f1", float(_f1(per_case.sum(axis=0))), _f1(everyone @ per_case))
+            totals = (everyone @ m.reshape(n, -1)).reshape(iterations, len(features), 4)
+            say("weighted_f1", float(_weighted(m[:, held].sum(axis=0))), _weighted(totals[:, held]))
+            points = _f1(m[:, :, 1:].sum(axis=0))
+            by_feature = _f1(totals[:, :, 1:])
+            for f in np.flatnonzero(held):
+                say("feature_f1", float(points[f]), by_feature[:, f], features[f])
+            say("positive_f1", float(_f1(per_case[positive].sum(axis=0))), _f1(pos @ per_case[positive]))
+            flag = (per_case[~positive, 1] > 0).astype(float)
+            if len(flag):
+                say("negative_fp_rate", float(flag.mean()), (neg @ flag) / len(flag))
+        for name, (first, second) in contrasts.items():
+            if first not in arrays or second not in arrays:
+                continue
+            for metric, feature in [("micro_f1", None), ("weighted_f1", None), *[("feature_f1", features[f]) for f in np.flatnonzero(held)]]:
+                (pa, a), (pb, b) = boots[first, metric, feature], boots[second, metric, feature]
+                point = pb - pa
+                out.append((*key, name, f"delta:{metric}", feature, float(point) if np.isfinite(point) else None, *_interval(b - a)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PUBLISHED.split(", ")])
+
+    return contributions.select("model", "config", "idx", "positive", "feature", "gold_appearances", "TP", "FP", "FN").groupBy("model").applyInPandas(run, PUBLISHED)
+
+
+def poisson_totals(contributions: DataFrame, iterations: int, by: list[str] | None = None, seed: int = SEED) -> DataFrame:
+    """R1, R3 for cohorts of any size: weighted sums by replicate, every report's weight an independent Poisson(1) draw.
+
+    The draw is the inverse distribution function at a hash of (seed, replicate, report), so
+    that it needs no numbering, no join and no shuffle of draws: rows meet their replicates
+    in place and sums are partial. Its totals have the multinomial's mean and, but for the
+    cohort's size, its spread."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "iter", "idx"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    steps, mass, below = [], math.exp(-1.0), 0.0
+    for k in range(12):
+        below += mass
+        steps.append(below)
+        mass /= k + 1
+    w = sum([(u >= s).cast("int") for s in steps], F.lit(0))
+    drawn = contributions.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("w", w).filter("w > 0")
+    sums = [F.sum(F.col("w") * F.col(c)).alias(c) for c in ("gold_appearances", "TP", "FP", "FN") if c in contributions.columns]
+    return drawn.groupBy("iter", *(by or [])).agg(*sums)
 
 
 def replicate_totals(contributions: DataFrame, drawn: DataFrame, by: list[str]) -> DataFrame:
@@ -61,6 +168,13 @@ def weighted_distribution(contributions: DataFrame, drawn: DataFrame, by: list[s
     return sums.select("iter", *by, F.try_divide(F.col("__s"), F.col("__g").cast("double")).alias("f1"))
 
 
+def any_fp_rate(contributions: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(iter, f1): the share of drawn reports with any false positive."""
+    flags = contributions.groupBy("idx").agg((F.sum("FP") > 0).cast("int").alias("any"))
+    t = drawn.join(flags, "idx").groupBy("iter").agg(F.sum(F.col("w") * F.col("any")).alias("hit"), F.sum("w").alias("n"))
+    return t.select("iter", F.try_divide(F.col("hit").cast("double"), F.col("n").cast("double")).alias("f1"))
+
+
 def interval(c: str = "f1") -> list[Column]:
     """95 % percentile interval over the finite replicates, and their number."""
     finite = F.when(~F.isnan(c), F.col(c))
@@ -83,7 +197,7 @@ def supported_only(contributions: DataFrame) -> DataFrame:
 def matrix_distribution(contributions: DataFrame, n: int, iterations: int = ITERATIONS, seed: int = SEED, block: int = 500, limit: int = MATRIX_CELLS) -> DataFrame:
     """R1, R3 by matrix product: (iter, f1) of seeded numpy draws; contributions hold idx 0..n-1.
 
-    The draws of block k come from the seed's k-th child, so blocks run anywhere."""
+    The draws are those of `weights`, in blocks: each task makes the generator's draws up to its own block."""
     if n * 3 > limit:
         raise ValueError("too many reports for one matrix: use micro_distribution")
     rows = contributions.groupBy("idx").agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")]).collect()  # at most n rows, n checked
@@ -97,7 +211,9 @@ def matrix_distribution(contributions: DataFrame, n: int, iterations: int = ITER
 
         for b in batches:
             for k in b.column("id").to_pylist():
-                rng = np.random.default_rng([seed, k])
+                rng = np.random.default_rng(seed)
+                for _ in range(k):  # draws of earlier blocks pass by
+                    rng.integers(0, n, size=(block, n), dtype=np.int32)
                 size = min(block, iterations - k * block)
                 t = weights(rng, size, n) @ m
                 den = 2 * t[:, 0] + t[:, 1] + t[:, 2]

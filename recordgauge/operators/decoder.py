@@ -53,6 +53,44 @@ class CharacterTokenizer:
         return [*self.invisible, *self.encode(self.alphabet)]
 
 
+@dataclass
+class MarkedTokenizer:
+    """C4: a tokenizer with the slot markers registered as single special tokens, ids above the base vocabulary."""
+
+    base: Tokenizer
+    markers: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        first = max([*self.base.vocabulary(), self.base.eos]) + 1
+        for k, m in enumerate(fd.KEY_OF_MARKER):
+            self.markers.setdefault(f"<|{m}|>", first + k)
+
+    @property
+    def eos(self) -> int:
+        return self.base.eos
+
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        for k, piece in enumerate(MARK.split(text)):
+            if k:
+                out.append(self.markers[MARK.findall(text)[k - 1]])
+            out += self.base.encode(piece)
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        names = {i: m for m, i in self.markers.items()}
+        return "".join(names[i] if i in names else self.base.decode([i]) for i in ids)
+
+    def vocabulary(self) -> list[int]:
+        return [*self.base.vocabulary(), *self.markers.values()]
+
+    def audit(self) -> dict[str, bool]:
+        """Whether every marker is one token of its own, no other text makes it, and it reads back."""
+        single = all(self.encode(m) == [i] and self.decode([i]) == m for m, i in self.markers.items())
+        ids = list(self.markers.values())
+        return {"unique": len(set(ids)) == len(ids) == len(fd.KEY_OF_MARKER) and not set(ids) & set(self.base.vocabulary()), "single": single}
+
+
 class TemplateError(ValueError):
     """A token that the template does not allow."""
 
@@ -196,7 +234,7 @@ class Runtime:
         return [{"pos": k, "slot": label, "value": value, "expanded_to": int(value) if label == "Number of Nodules" else None} for k, (label, value) in enumerate(s.chosen)]
 
     def audit(self) -> dict[str, Any]:
-        """Marker counts of the programs of 0, 1 and 2, and whether each replays to its end."""
+        """Marker counts of the programs of 0, 1 and 2, and whether each replays to its end."""
         out: dict[str, Any] = {}
         for n in (0, 1, 2):
             slots = [x for x in self.program(n) if isinstance(x, Slot)]
@@ -255,6 +293,29 @@ class Sampling:
         return out
 
 
+def choose_column(df: DataFrame, logits: str, sampling: Sampling, history: list[int], illegal: int) -> DataFrame:
+    """C11 over a column of logits: `chosen`, the token after the transforms; every `illegal`-th token (from 0) is not allowed.
+
+    The history is every legal token of even id, once."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField("chosen", T.IntegerType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for row in b.column(logits).to_pylist():
+                x = np.array(row, dtype=np.float64)
+                legal = [t for t in range(len(x)) if t % illegal]
+                seen = [t for t in legal if t % history[0] == history[1]]
+                out.append(int(np.argmax(sampling.choose(x, seen, legal))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def top_p_mask(df: DataFrame, step: str, logit: str, token: str, top_p: float, min_p: float = 0.0) -> DataFrame:
     """W4, W5 relationally: `kept` of each (step, token): ascending running probability over 1 - top_p, and min-p."""
     whole = Window.partitionBy(step)

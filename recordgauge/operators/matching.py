@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordgauge.functions.fields import MIN_SIMILARITY
+from recordgauge.functions import jsonx
+from recordgauge.functions.equality import plain_equal
+from recordgauge.functions.fields import DIRECT_KEY, MIN_SIMILARITY, WEIGHTS
 from recordgauge.session import cut
 
 
@@ -113,6 +115,43 @@ def assign_pairs(candidates: DataFrame, group: list[str], minimum: float = MIN_S
     return candidates.groupBy(*group).applyInPandas(solve, schema)
 
 
+def match_values(gold: list[dict], pred: list[dict], minimum: float = MIN_SIMILARITY) -> list[tuple[int, int, float]]:
+    """X1, X3, X5 of one report's parsed records: (gold_pos, pred_pos, similarity)."""
+    same = lambda g, p, f: f in g and f in p and plain_equal(g[f], p[f], f)
+    out, used = [], set()
+    for i, g in enumerate(gold):
+        for j, p in enumerate(pred):
+            if j not in used and all(not jsonx.is_null_value(g.get(f)) and same(g, p, f) for f in DIRECT_KEY):
+                out.append((i, j, 1.0))
+                used.add(j)
+                break
+    left, rest = [i for i in range(len(gold)) if i not in {m[0] for m in out}], [j for j in range(len(pred)) if j not in used]
+    if left and rest:
+        s = np.zeros((len(left), len(rest)))
+        for a, i in enumerate(left):
+            there = {f: w for f, w in WEIGHTS.items() if not jsonx.is_null_value(gold[i].get(f))}
+            for b, j in enumerate(rest):
+                s[a, b] = sum(w for f, w in there.items() if same(gold[i], pred[j], f)) / sum(there.values()) if there else 0.0
+        out += [(left[a], rest[b], float(s[a, b])) for a, b in assign(-s) if s[a, b] >= minimum]
+    return sorted(out)
+
+
+def match_records(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """`df` with `matches`: the pairs of two array<string> columns of record texts, row by row."""
+    kind = "array<struct<gold_pos:int,pred_pos:int,similarity:double>>"
+
+    def run(golds, preds):
+        import pandas as pd
+
+        read = lambda side: [x if isinstance(x := jsonx.loads(t), dict) else {} for t in (side if side is not None else [])]
+        return pd.Series([[{"gold_pos": i, "pred_pos": j, "similarity": s} for i, j, s in match_values(read(g), read(p))] for g, p in zip(golds, preds, strict=True)])
+
+    import pandas as pd
+
+    run.__annotations__ = {"golds": pd.Series, "preds": pd.Series, "return": pd.Series}
+    return df.withColumn("matches", F.pandas_udf(run, kind)(gold, pred))
+
+
 def align(gold: DataFrame, pred: DataFrame, group: list[str], key: list[str], order: str, similarity, minimum: float = MIN_SIMILARITY, complete: bool = True) -> DataFrame:
     """(group, gold_pos, pred_pos, similarity): both phases.
 

@@ -50,6 +50,20 @@ def summary(rows: DataFrame, by: list[str] | None = None, which: str = "all") ->
     return out.withColumn("micro_f1", f1_of(*[F.col(c) for c in COUNTS]))
 
 
+def two_arms(a: DataFrame, b: DataFrame, which: str = "all") -> DataFrame:
+    """A14 ('all'), A15 ('observed'): macro and micro F1 of two arms over one universe of features, and their differences.
+
+    Observed is a feature that gold holds or either arm has an event of."""
+    cols = ("gold_appearances", *COUNTS, "f1")
+    x = a.select("feature", *[F.col(c).alias(f"{c}_a") for c in cols])
+    both = x.join(b.select("feature", *[F.col(c).alias(f"{c}_b") for c in cols]), "feature")
+    if which == "observed":
+        both = both.filter(sum([F.col(f"{c}_{s}") for c in cols[:-1] for s in "ab"], F.lit(0)) > 0)
+    out = both.agg(F.count("*").alias("n_features"), *[F.avg(f"f1_{s}").alias(f"macro_{s}") for s in "ab"], *[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in COUNTS for s in "ab"])
+    out = out.withColumns({f"micro_{s}": f1_of(*[F.col(f"{c}_{s}") for c in COUNTS]) for s in "ab"})
+    return out.withColumns({f"{m}_delta": F.col(f"{m}_b") - F.col(f"{m}_a") for m in ("macro", "micro")})
+
+
 def compare_features(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), tolerance: float = 1e-12) -> DataFrame:
     """Features of both arms, one to one, with deltas, points, relative change and a label."""
     for side, df in zip(names, (a, b), strict=True):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordgauge.functions.text import change_text, interval_text, rounded_text, short_feature, signed
+
 REGIMES = ("sparse", "dense", "constrained")
 
 
@@ -36,6 +38,11 @@ def top_changes(df: DataFrame, k: int = 10, c: str = "delta", name: str = "featu
     return kept.orderBy(F.desc(c) if which == "improved" else F.asc(c), name).limit(k)
 
 
+def distinct_in_order(values: Column) -> Column:
+    """The first of each value of an array, in order."""
+    return F.array_distinct(values)
+
+
 def by_category(df: DataFrame, c: str, order: tuple[str, ...]) -> DataFrame:
     """In a stated order of categories; unknown ones last."""
     table = F.create_map(*[x for k, v in enumerate(order) for x in (F.lit(v), F.lit(k))])
@@ -108,6 +115,69 @@ def latex_rows(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("row"))
 
 
+def escaped(c: Column) -> Column:
+    """Text for a table row: percent signs and underscores escaped."""
+    return F.replace(F.replace(c, F.lit("%"), F.lit(r"\%")), F.lit("_"), F.lit(r"\_"))
+
+
+def row_of(*cells: Column) -> Column:
+    return F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\"))
+
+
+def cell_ci(prefix: str) -> Column:
+    return interval_text(*[F.col(f"{prefix}_{k}") for k in ("f1", "low", "high")])
+
+
+def cell_change(prefix: str) -> Column:
+    return change_text(*[F.col(f"{prefix}_{k}") for k in ("delta", "low", "high")])
+
+
+def table_fragments(models: DataFrame) -> DataFrame:
+    """K8: (model, adaptation, constraint, grammar): rows of the three main tables, one model a row.
+
+    Columns of `models`: model, label, and by prefix f1, low, high of base, dense, dynamic, sft
+    and grammar, delta, low, high of sft_delta, constraint_delta and grammar_delta, and
+    base_tokens, sft_tokens, sparse_validity, dense_validity, valid_count, n."""
+    share = lambda c: F.concat(rounded_text(c, 1), F.lit(r"\%"))
+    saved = share(100 * (1 - F.col("sft_tokens") / F.col("base_tokens")))
+    tokens = [rounded_text(F.col(c), 0, "%,.{}f") for c in ("base_tokens", "sft_tokens")]
+    of = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("n").cast("string"))
+    return models.select(
+        "model",
+        row_of(F.col("label"), cell_ci("base"), cell_ci("sft"), cell_change("sft_delta"), *tokens, saved).alias("adaptation"),
+        row_of(F.col("label"), cell_ci("base"), cell_ci("dense"), cell_ci("dynamic"), cell_change("constraint_delta")).alias("constraint"),
+        row_of(F.col("label"), share(F.col("sparse_validity")), share(F.col("dense_validity")), F.lit(r"100.0\%"), of("valid_count"), of("n"), cell_ci("sft"), cell_ci("grammar"), cell_change("grammar_delta")).alias("grammar"),
+    )
+
+
+def feature_fragments(features: DataFrame, least: int = 20) -> DataFrame:
+    """K8: (feature, row) of the supplementary feature table; below `least` gold values a figure is descriptive only, without an interval."""
+    some = F.col("support") >= least
+    point = F.when(some, cell_ci("abs")).otherwise(F.concat(rounded_text(F.col("abs_f1"), 3), F.lit(" (descriptive)")))
+    change = F.when(some, cell_change("diff")).otherwise(F.concat(signed(100 * F.col("diff_delta")), F.lit(" (descriptive)")))
+    out = features.select("feature", "support", row_of(escaped(short_feature(F.col("feature"))), F.col("support").cast("string"), point, change).alias("row"))
+    return out.orderBy(F.desc("support"), "feature").select("feature", "row")
+
+
+def sensitivity_fragments(models: DataFrame) -> DataFrame:
+    """K8: (model, row) of the supplementary case-mix table."""
+    of = lambda c: rounded_text(100 * F.col(c), 1)
+    rate = F.concat(F.col("fp_reports").cast("string"), F.lit("/"), F.col("negatives").cast("string"), F.lit(" ("), of("rate"), F.lit(r"\%; 95\% CI: "), of("rate_low"), F.lit(", "), of("rate_high"), F.lit(r"\%)"))
+    return models.select("model", row_of(F.col("label"), cell_ci("all"), cell_ci("pos"), rate).alias("row"))
+
+
+def forest_table(intervals: DataFrame, order: tuple[str, ...], metric: str = "micro_f1") -> DataFrame:
+    """K9: the input of a forest plot: (model, config, place, point, below, above), a row each point and its error bars."""
+    table = F.create_map(*[x for k, v in enumerate(order) for x in (F.lit(v), F.lit(k))])
+    rows = intervals.filter(F.col("metric") == metric).withColumn("place", F.try_element_at(table, F.col("config")))
+    return rows.filter("place is not null").select("model", "config", "place", "point", (F.col("point") - F.col("ci_low")).alias("below"), (F.col("ci_high") - F.col("point")).alias("above"))
+
+
+def stacked_table(changes: DataFrame, by: str = "model") -> DataFrame:
+    """K9: the input of stacked bars: features improved, worsened and unchanged by model."""
+    return changes.groupBy(by).agg(*[F.count_if(F.col("label") == k).alias(k) for k in ("improved", "worsened", "unchanged")])
+
+
 def manifest(df: DataFrame, **method: str) -> DataFrame:
     """One row of JSON with the method's text and the row count."""
     return df.agg(F.count("*").alias("rows")).select(F.to_json(F.struct(F.col("rows"), *[F.lit(v).alias(k) for k, v in method.items()])).alias("manifest"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recordgauge.functions import dates, equality, fields, jsonx, nulls, schema, slots, text
 from recordgauge.operators import audits, bootstrap, decoder, generation, matching, metrics, reports, scoring
 from recordgauge.session import table
+from recordgauge.sources import readers
 
 ITERATIONS = 200
 QUERIES: dict = {}
@@ -42,11 +43,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """The other modules of queries register themselves when imported."""
+    from recordgauge.plans import pipelines, records, storage  # noqa: F401
+
+
 def queries() -> dict:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
 
 
@@ -132,7 +140,7 @@ def sql_equal(name: str, g: str = "", p: str = "") -> str:
 
 @register("tolerant_equality", f"SELECT l_returnflag, count(*) AS n, {', '.join(f'count_if({sql_equal(f)}) AS equal_{f}' for f in FIELDS)} FROM ({SQL_ARMS}) GROUP BY l_returnflag")
 def tolerant_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric tolerance, white space and case, one-sided nulls; values as text take the general rule."""
+    """Numeric tolerance, white space and case, one-sided nulls; values as text take the general rule."""
     x = arms(spark, d)
     general = {f: equality.values_equal(F.col(f"l_{f}").cast("string"), F.col(f"p_{f}").cast("string"), f) for f in ("returnflag",)}
     return x.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.count_if(general.get(f, equal(f))).alias(f"equal_{f}") for f in FIELDS])
@@ -160,8 +168,7 @@ def sql_events(source: str, keep: str = "") -> str:
 def scalar_feature_scores(spark: SparkSession, d: str) -> DataFrame:
     """Exact scores by feature; a feature without events appears too."""
     events = scoring.feature_events(arms(spark, d), four_fields(), [])
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in (*FIELDS, "comment")])).alias("feature"))
-    done = scoring.feature_scores(events, names)
+    done = scoring.feature_scores(events, readers.features(spark, [*FIELDS, "comment"]))
     return done.select("feature", "gold_appearances", "TP", "FP", "FN", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -423,14 +430,6 @@ def json_recovery(spark: SparkSession, d: str) -> DataFrame:
     return noisy(spark, d).select("c_custkey", jsonx.normalise_json(F.col("raw")).alias("record"), jsonx.payload_json(F.col("raw")).isNotNull().alias("parsed"))
 
 
-@register("json_inspection", """SELECT count(*) AS n, count_if(c_custkey % 5 <> 3) AS objects, CAST(sum(CASE WHEN c_custkey % 5 <> 3 THEN CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END END) AS BIGINT) AS nulls, CAST(sum(CASE WHEN c_custkey % 5 <> 3 THEN 3 END) AS BIGINT) AS leaves FROM customer""")
-def json_inspection(spark: SparkSession, d: str) -> DataFrame:
-    """Null and leaf counts of raw objects."""
-    x = noisy(spark, d).select(jsonx.parse_object_json(F.col("raw")).alias("o"))
-    x = x.select("o", F.when(F.col("o").isNotNull(), jsonx.leaf_counts_json(F.col("o"))).alias("c"))
-    return x.agg(F.count("*").alias("n"), F.count("o").alias("objects"), F.sum("c.nulls").alias("nulls"), F.sum("c.leaves").alias("leaves"))
-
-
 FLAT_SCHEMA = {
     "properties": {
         "c_nationkey": {"type": "integer", "minimum": 0, "maximum": 20},
@@ -452,46 +451,6 @@ def schema_validate_flat(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy(n.cast("int").alias("faults")).agg(F.count("*").alias("customers"))
 
 
-@register("schema_validate_nested", """SELECT count(*) AS n, count_if(c_custkey % 5 <> 3 AND c_custkey % 2 = 1 AND false) AS valid, count_if(c_custkey % 5 = 3) AS not_objects, CAST(sum(CASE WHEN c_custkey % 5 = 3 THEN 1 WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS faults FROM customer""")
-def schema_validate_nested(spark: SparkSession, d: str) -> DataFrame:
-    """V1 on nested record texts: the count is a string, ' none ' is no category."""
-    v = noisy(spark, d).select(schema.validate_json(F.coalesce(jsonx.parse_object_json(F.col("raw")), F.lit("0")), fields.raw_schema()).alias("v"))
-    return v.agg(F.count("*").alias("n"), F.count_if("v.valid").alias("valid"), F.count_if(F.exists("v.errors", lambda e: e["validator"].isNull())).alias("not_objects"), F.sum("v.error_count").alias("faults"))
-
-
-@register(
-    "template_slot_check",
-    r"""WITH v AS (SELECT l_linenumber, CAST(l_quantity AS INT)::VARCHAR AS q, printf('%.2f', l_extendedprice) AS e, CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE '' END || l_suppkey AS i, strftime(l_shipdate, '%-m/%-d/%Y') AS s, strftime(l_shipdate, '%-m/%Y') AS t FROM lineitem)
-    SELECT l_linenumber, count(*) AS n, count_if(regexp_full_match(q, '0|[1-9]|[1-4][0-9]')) AS counts, count_if(regexp_full_match(e, '(0|[1-9][0-9]{0,7})([.][0-9]{1,4})?|null')) AS decimals, count_if(regexp_full_match(i, '0|[1-9][0-9]{0,7}|null')) AS integers,
-      count(*) AS dates, 0::BIGINT AS months_as_dates, count(*) AS follow_ups FROM v GROUP BY l_linenumber""",
-)
-def template_slot_check(spark: SparkSession, d: str) -> DataFrame:
-    """V4-V7: complete words of typed slots."""
-    x = table(spark, d, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q"), F.format_string("%.2f", "l_extendedprice").alias("e"), F.concat(F.when(F.col("l_suppkey") % 3 == 0, "0").otherwise(""), F.col("l_suppkey").cast("string")).alias("i"), F.date_format("l_shipdate", "M/d/yyyy").alias("s"), F.date_format("l_shipdate", "M/yyyy").alias("t"))
-    n = lambda marker, c: F.count_if(slots.slot_complete(marker, F.col(c)))
-    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), n("num_nodule", "q").alias("counts"), n("long_axis", "e").alias("decimals"), n("series", "i").alias("integers"), n("comparison_date", "s").alias("dates"), n("comparison_date", "t").alias("months_as_dates"), n("follow_up_date", "t").alias("follow_ups"))
-
-
-@register("dense_contract")
-def dense_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Records rendered from the dense template, some spoilt, and their faults."""
-    k = F.col("c_custkey") % 4
-    good = slots.template_text(1).replace("<|num_nodule|>", "1")
-    good = slots.MARK.sub("null", good)
-    out = F.when(k == 0, good).when(k == 1, good.replace('"1"', '"2"', 1)).when(k == 2, good.replace('"Lobe": "null"', '"Lobe": "left"')).otherwise(slots.template_text(0))
-    x = table(spark, d, "customer").select("c_custkey", out.alias("t"))
-    return x.select("c_custkey", F.size(slots.dense_faults_json(F.col("t"))).alias("faults"))
-
-
-@register("decoder_replay")
-def decoder_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Token paths of the template, cut at a place that depends on the row, replayed."""
-    tok = decoder.CharacterTokenizer()
-    path = decoder.Runtime(tok).render(1, {"Nodule[0].Lobe": "left lower lobe"})
-    x = table(spark, d, "supplier").select("s_suppkey", F.slice(F.array(*[F.lit(t) for t in path]), F.lit(1), (F.col("s_suppkey") * 37 % len(path)).cast("int")).alias("tokens"))
-    return decoder.replay_column(x, "tokens", tok).select("s_suppkey", "complete", "count", "action", "slot", F.size("allowed").alias("n_allowed"), "error")
-
-
 # --- text -------------------------------------------------------------------------------
 
 
@@ -553,7 +512,7 @@ def ladder(spark: SparkSession, d: str) -> DataFrame:
     SELECT page_id, CASE WHEN k = 0 THEN 'numeric' WHEN k IN (2, 5, 6) THEN 'alphanumeric' WHEN k = 7 THEN 'empty' ELSE 'other' END AS id_format, matched_by, CAST(CASE WHEN k IN (3, 7) THEN -1 ELSE 2 END AS INT) AS span_start FROM m""",
 )
 def id_presence_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """T-1 to T-12: the first rung on which an id occurs in a text."""
+    """T-1 to T-11: the first rung on which an id occurs in a text."""
     x = text.match_ladder(ladder(spark, d), "text", "value")
     return x.select("page_id", text.id_format(F.col("id_clean")).alias("id_format"), "matched_by", F.coalesce("span_start", F.lit(-1)).cast("int").alias("span_start"))
 
@@ -643,28 +602,6 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
     return z.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("a_doc_id") == F.col("b_doc_id")).alias("same"))
 
 
-@register(
-    "anchor_equality",
-    """WITH e AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id) SELECT kinds, count(*) AS users, count_if(n = kinds) AS once_each FROM e GROUP BY kinds""",
-)
-def anchor_equality(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every arm (event type) holds an id once."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
-    return e.groupBy("kinds").agg(F.count("*").alias("users"), F.count_if(F.col("n") == F.col("kinds")).alias("once_each"))
-
-
-@register(
-    "repeat_reproducible",
-    """WITH a AS (SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS s FROM documents GROUP BY source) SELECT source, n, s AS summed, s + CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END AS reported, n % 2 = 0 AS agrees FROM a""",
-)
-def repeat_reproducible(spark: SparkSession, d: str) -> DataFrame:
-    """Reported totals against the sums of the cases."""
-    x = table(spark, d, "documents")
-    n = x.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"))
-    reported = n.select("source", "n", (F.col("s") + F.when(F.col("n") % 2 == 0, 0).otherwise(1)).alias("reported"))
-    return audits.token_totals(x, reported, ["source"], "n_chars").select("source", "n", "summed", "reported", "agrees")
-
-
 @register(
     "truncation_hits",
     """SELECT lang, count(*) AS n, count_if(CASE WHEN doc_id % 9 = 0 AND lang <> 'de' THEN n_chars >= 3000 ELSE doc_id % 4 = 0 END) AS hits, CASE WHEN bool_and(NOT (doc_id % 9 = 0 AND lang <> 'de')) THEN 'finish_reason' ELSE 'completion_limit_proxy' END AS measured_by FROM documents GROUP BY lang""",
@@ -692,19 +629,12 @@ def acceptance_rules(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"), F.count_if(F.size("waived") > 0).alias("waived"))
 
 
-@register("conversion_safety", """SELECT 0::BIGINT AS lost, 0::BIGINT AS gained""")
-def conversion_safety(spark: SparkSession, d: str) -> DataFrame:
-    """A conversion of one column leaves the others as they were."""
-    x = table(spark, d, "conversations")
-    return audits.conversion_safe(x, x.withColumn("text", F.upper("text")), ["text"])
-
-
 @register(
     "set_guards",
     """WITH a AS (SELECT DISTINCT c_nationkey AS v FROM customer WHERE c_nationkey % 3 <> 0), b AS (SELECT DISTINCT n_nationkey AS v FROM nation WHERE n_regionkey <> 2) SELECT count_if(b.v IS NULL) AS only_a, count_if(a.v IS NULL) AS only_b, count_if(a.v IS NOT NULL AND b.v IS NOT NULL) AS common FROM a FULL JOIN b ON a.v = b.v""",
 )
 def set_guards(spark: SparkSession, d: str) -> DataFrame:
-    """Two value sets against one another."""
+    """Two value sets against one another."""
     a = table(spark, d, "customer").filter(F.col("c_nationkey") % 3 != 0).select(F.col("c_nationkey").alias("v"))
     b = table(spark, d, "nation").filter(F.col("n_regionkey") != 2).select(F.col("n_nationkey").alias("v"))
     return audits.set_checks(a, b, "v")
@@ -767,17 +697,6 @@ def regime_effects(spark: SparkSession, d: str) -> DataFrame:
     return e.select("source", *[r6(c).alias(c) for c in e.columns if c != "source"])
 
 
-@register(
-    "rescore_changes",
-    """SELECT count(*) AS cases, count_if(c_custkey % 5 = 3 OR c_custkey % 3 = 0 OR c_custkey % 2 = 0 OR true) AS changed_predictions, count_if(c_custkey % 5 = 3) AS changed_metrics, 'normalised' AS policy FROM customer""",
-)
-def rescore_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions rebuilt from the raw texts beside the saved ones."""
-    x = noisy(spark, d).withColumns({"saved": F.col("raw"), "old": F.lit(True)})
-    done = reports.rescore(x, jsonx.normalise_json(F.col("raw")), jsonx.parse_object_json(F.col("raw")).isNotNull(), "saved", "old")
-    return reports.rescore_summary(done, policy="normalised")
-
-
 @register(
     "arm_summary",
     """SELECT lang, count(*) AS n, count_if(doc_id % 2 = 0) AS exact_tags, count_if(doc_id % 3 <> 0) AS json_valid, count_if(doc_id % 6 = 1) AS schema_valid, CAST(sum(doc_id % 4) AS BIGINT) AS nulls, 0::BIGINT AS status_both_omitted, count_if(doc_id % 2 = 0) AS status_consistent, count_if(doc_id % 2 = 1) AS status_inconsistent, 0::BIGINT AS status_uncheckable, CAST(sum(n_chars) AS BIGINT) AS completion_tokens, CAST(sum(least(doc_id % 8, 5)) AS BIGINT) AS listed_errors FROM documents GROUP BY lang""",
@@ -797,7 +716,7 @@ def contributions(spark: SparkSession, d: str, only: int | None = None) -> tuple
     e = label_events(spark, d)
     if only is not None:
         e = e.filter(F.col("quality") == only)
-    e = e.withColumn("idx", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)
+    e = audits.numbered(e, ["doc_id"]).withColumnRenamed("pos", "idx")
     return e, e.count()
 
 
@@ -897,3 +816,78 @@ def generation_stub(spark: SparkSession, d: str) -> DataFrame:
     return generation.generate(x, lambda p: p.upper() + "!", prompt="role")
 
 
+@register(
+    "template_slot_check",
+    r"""WITH v AS (SELECT l_linenumber, CAST(l_quantity AS INT)::VARCHAR AS q, printf('%.2f', l_extendedprice) AS e, CASE WHEN l_suppkey % 3 = 0 THEN '0' ELSE '' END || l_suppkey AS i,
+      CASE l_suppkey % 5 WHEN 0 THEN strftime(l_shipdate, '13/%-d/%Y') WHEN 1 THEN strftime(l_shipdate, '%m/%d/%y') WHEN 2 THEN strftime(l_shipdate, '%-m/%Y') WHEN 3 THEN 'null' ELSE strftime(l_shipdate, '%-m/%-d/%Y') END AS s FROM lineitem)
+    SELECT l_linenumber, count(*) AS n, count_if(regexp_full_match(q, '0|[1-9]|[1-4][0-9]')) AS counts, count_if(regexp_full_match(e, '(0|[1-9][0-9]{0,7})([.][0-9]{1,4})?|null')) AS decimals, count_if(regexp_full_match(i, '0|[1-9][0-9]{0,7}|null')) AS integers,
+      count_if(regexp_full_match(s, '(0?[1-9]|1[0-2])/(0?[1-9]|[12][0-9]|3[01])/([0-9]{4}|[0-9]{2})|null')) AS dates, count_if(regexp_full_match(s, '(0?[1-9]|1[0-2])/((0?[1-9]|[12][0-9]|3[01])/([0-9]{4}|[0-9]{2})|[0-9]{4})|null')) AS follow_ups FROM v GROUP BY l_linenumber""",
+)
+def template_slot_check(spark: SparkSession, d: str) -> DataFrame:
+    """V4-V7: complete words of typed slots."""
+    k = F.col("l_suppkey") % 5
+    s = F.when(k == 0, F.date_format("l_shipdate", "'13'/d/yyyy")).when(k == 1, F.date_format("l_shipdate", "MM/dd/yy")).when(k == 2, F.date_format("l_shipdate", "M/yyyy")).when(k == 3, "null").otherwise(F.date_format("l_shipdate", "M/d/yyyy"))
+    x = table(spark, d, "lineitem").select("l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q"), F.format_string("%.2f", "l_extendedprice").alias("e"), F.concat(F.when(F.col("l_suppkey") % 3 == 0, "0").otherwise(""), F.col("l_suppkey").cast("string")).alias("i"), s.alias("s"))
+    n = lambda marker, c: F.count_if(slots.slot_complete(marker, F.col(c)))
+    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), n("num_nodule", "q").alias("counts"), n("long_axis", "e").alias("decimals"), n("series", "i").alias("integers"), n("comparison_date", "s").alias("dates"), n("follow_up_date", "s").alias("follow_ups"))
+
+
+@register(
+    "schema_validate_nested",
+    """SELECT count(*) AS n, count_if(c_custkey % 5 <> 3 AND c_custkey % 2 = 1 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) AS valid, count_if(c_custkey % 5 = 3) AS not_objects,
+      CAST(sum(CASE WHEN c_custkey % 5 = 3 THEN 1 ELSE (c_custkey % 2 = 0)::INT + (c_custkey % 7 = 0)::INT + 2 * (c_custkey % 11 = 0)::INT END) AS BIGINT) AS faults FROM customer""",
+)
+def schema_validate_nested(spark: SparkSession, d: str) -> DataFrame:
+    """V1 on nested record texts: categories, additional properties, faults inside the list."""
+    k = F.col("c_custkey")
+    item = F.when(k % 11 == 0, '{"Image ID": -1, "Lobe": "hilum"}').otherwise('{"Image ID": 7, "Lobe": "lingula"}')
+    raw = F.concat(F.lit('{"Number of Nodules": 1, "Nodules": ['), item, F.lit('], "Overall Lung-RADS": '), F.when(k % 2 == 0, '" none "').otherwise('"2"'), F.when(k % 7 == 0, ', "Extra": 1').otherwise(""), F.lit("}"))
+    v = table(spark, d, "customer").select(schema.validate_json(F.when(k % 5 == 3, "[1]").otherwise(raw), fields.raw_schema()).alias("v"))
+    return v.agg(F.count("*").alias("n"), F.count_if("v.valid").alias("valid"), F.count_if(F.exists("v.errors", lambda e: e["validator"].isNull())).alias("not_objects"), F.sum("v.error_count").alias("faults"))
+
+
+@register(
+    "reported_totals",
+    """WITH a AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN doc_id % 50 <> 0 THEN n_chars END) AS BIGINT) AS s, count_if(doc_id % 50 = 0) AS missing FROM documents GROUP BY source) SELECT source, n, s AS summed, missing, s + n % 2 AS reported, n % 2 = 0 AND missing = 0 AS agrees FROM a""",
+)
+def reported_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Reported totals against the sums of the cases, some of which have no count."""
+    x = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 50 != 0, F.col("n_chars")).alias("tokens"))
+    n = x.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("s"))
+    reported = n.select("source", "n", (F.col("s") + F.col("n") % 2).alias("reported"))
+    return audits.token_totals(x, reported, ["source"], "tokens").select("source", "n", "summed", "missing", "reported", "agrees")
+
+
+@register(
+    "conversion_safety",
+    """WITH a AS (SELECT conv_id, turn, role FROM conversations), b AS (SELECT conv_id, turn, CASE WHEN conv_id % 10 = 3 THEN 'x' ELSE role END AS role FROM conversations WHERE turn <> 2) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS lost, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS gained""",
+)
+def conversion_safety(spark: SparkSession, d: str) -> DataFrame:
+    """A conversion of one column that also changed another and lost rows."""
+    x = table(spark, d, "conversations")
+    after = x.filter("turn <> 2").withColumns({"text": F.upper("text"), "role": F.when(F.col("conv_id") % 10 == 3, "x").otherwise(F.col("role"))})
+    return audits.conversion_safe(x, after, ["text"])
+
+
+@register(
+    "negative_rate_ci",
+    f"{_sql_boot('quality <> 1')}, f AS (SELECT iter, sum(w * (fp_b > 0)::INT) / sum(w) AS f1 FROM w JOIN e USING (idx) GROUP BY iter) SELECT {_SQL_CI} FROM f",
+)
+def negative_rate_ci(spark: SparkSession, d: str) -> DataFrame:
+    """The share of negative reports with any false positive, under draws of their own."""
+    e, n = contributions(spark, d, 0)
+    dist = bootstrap.any_fp_rate(arm(e, "b"), bootstrap.draws(spark, ITERATIONS, n))
+    return rounded(dist.agg(*bootstrap.interval()))
+
+
+@register(
+    "supported_point_check",
+    f"""WITH f AS ({sql_features("b", "lang")}) SELECT lang, gold_appearances > 0 AS supported, CAST(CASE WHEN gold_appearances > 0 THEN tp END AS BIGINT) AS "TP" FROM f""",
+)
+def supported_point_check(spark: SparkSession, d: str) -> DataFrame:
+    """The features that gold supports in the full cohort, and their totals."""
+    e, _ = contributions(spark, d)
+    c = arm(e, "b", "lang").withColumnRenamed("lang", "feature")
+    kept = bootstrap.supported_only(c).groupBy("feature").agg(F.sum("TP").alias("TP"))
+    every = c.select("feature").distinct()
+    return every.join(kept.withColumn("supported", F.lit(True)), "feature", "left").select(F.col("feature").alias("lang"), F.coalesce("supported", F.lit(False)).alias("supported"), "TP")
