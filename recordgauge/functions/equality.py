@@ -38,15 +38,20 @@ def normalised(c: Column, field: str | None = None, digits: int | None = None) -
     return bound(F.lower(collapse_ws(c.cast("string"))), of)
 
 
+def normal_equal(x: Column, y: Column, tolerance: float = TOLERANCE) -> Column:
+    """E2, E4 of two normalised values that are there."""
+    near = F.abs(x["num"] - y["num"]) <= tolerance
+    both = x["num"].isNotNull() & y["num"].isNotNull()
+    text = x["num"].isNull() & y["num"].isNull() & x["txt"].eqNullSafe(y["txt"]) & x["date"].eqNullSafe(y["date"])
+    return F.when(both, ~F.isnan(x["num"]) & ~F.isnan(y["num"]) & near).otherwise(text)
+
+
 def values_equal(a: Column, b: Column, field: str | None = None, digits: int | None = None, tolerance: float = TOLERANCE) -> Column:
     """E2 (digits None) or E4 (digits 3). NaN equals nothing."""
 
     def same(p: Column) -> Column:
         x, y = p["x"], p["y"]
-        near = F.abs(x["num"] - y["num"]) <= tolerance
-        both = x["num"].isNotNull() & y["num"].isNotNull()
-        text = x["num"].isNull() & y["num"].isNull() & x["txt"].eqNullSafe(y["txt"]) & x["date"].eqNullSafe(y["date"])
-        return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise(F.when(both, ~F.isnan(x["num"]) & ~F.isnan(y["num"]) & near).otherwise(text))
+        return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), False).otherwise(normal_equal(x, y, tolerance))
 
     full = bound(F.struct(normalised(a, field, digits).alias("x"), normalised(b, field, digits).alias("y")), same)
     # one text twice is equal without further work, but for what may read as NaN or infinite

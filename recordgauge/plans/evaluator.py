@@ -15,15 +15,20 @@ from pyspark.sql import types as T
 
 from recordgauge.functions import fields as fd
 from recordgauge.functions import jsonx, slots
-from recordgauge.functions.equality import normalised, values_equal
-from recordgauge.functions.nulls import is_null
+from recordgauge.functions.equality import normal_equal, normalised
 from recordgauge.operators import audits, bootstrap, gates, generation, matching, metrics, reports, scoring
 from recordgauge.session import cut
 
 #: Scored features: report fields, then those of a finding.
 FEATURES = (*fd.REPORT_FIELDS, *(f"{fd.LIST_FIELD}.{f}" for f in fd.FINDING_FIELDS))
-_FINDING = T.StructType([T.StructField(f, T.StringType()) for f in fd.FINDING_FIELDS])
-_REPORT = T.StructType([T.StructField(f, T.StringType()) for f in fd.REPORT_FIELDS])
+
+
+def ordered(names: tuple[str, ...]) -> tuple[str, ...]:
+    """Fields without a date first: the order of value arrays."""
+    return (*[f for f in names if f not in fd.DATE_FIELDS], *[f for f in names if f in fd.DATE_FIELDS])
+
+
+FINDING, REPORT = ordered(fd.FINDING_FIELDS), ordered(fd.REPORT_FIELDS)
 
 
 @dataclass(frozen=True)
@@ -35,52 +40,61 @@ class Arm:
     summary: DataFrame
 
 
-def column_of(i: int) -> str:
-    return f"f{i}"
+def text_type(names: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(f, T.StringType()) for f in names])
+
 
+def normal_values(x: Column, names: tuple[str, ...], digits: int | None) -> Column:
+    """The normalised values of a struct of texts, as one array in the order of `names`."""
+    plain = [x.getField(f) for f in names if f not in fd.DATE_FIELDS]
+    dated = [x.getField(f) for f in names if f in fd.DATE_FIELDS]
+    out = F.transform(F.array(*plain), lambda v: normalised(v, None, digits))
+    return F.concat(out, F.transform(F.array(*dated), lambda v: normalised(v, fd.DATE_FIELDS[0], digits))) if dated else out
 
-def finding_rows(cases: DataFrame, record: str) -> DataFrame:
-    """(id, pos, f0.., key parts): a row for each finding of a record's list, values as text, semantic nulls as null."""
+
+def finding_rows(cases: DataFrame, record: str, digits: int | None = None) -> DataFrame:
+    """(id, pos, vals, key0..): a row for each finding of a record's list, with its normalised values and the parts of its key."""
     each = cases.select("id", F.posexplode(jsonx.findings_json(F.col(record))).alias("pos", "text"))
-    parsed = each.select("id", F.col("pos").cast("long").alias("pos"), F.from_json("text", _FINDING).alias("x"))
-    values = [F.when(~is_null(F.col("x").getField(f)), F.col("x").getField(f)).alias(column_of(i)) for i, f in enumerate(fd.FINDING_FIELDS)]
-    rows = parsed.select("id", "pos", *values)
-    at = {f: column_of(i) for i, f in enumerate(fd.FINDING_FIELDS)}
-    keys = {}
-    for k, f in enumerate(fd.RECORD_KEY):
-        n = normalised(F.col(at[f]), f)
-        keys[f"key{k}"] = F.coalesce(n["num"].cast("string"), n["txt"])
-    return rows.withColumns(keys)
+    parsed = each.select("id", F.col("pos").cast("long").alias("pos"), F.from_json("text", text_type(fd.FINDING_FIELDS)).alias("x"))
+    rows = parsed.select("id", "pos", normal_values(F.col("x"), FINDING, digits).alias("vals"))
+    part = lambda f: F.get("vals", F.lit(FINDING.index(f)))
+    return rows.select("*", *[F.coalesce(part(f)["num"].cast("string"), part(f)["txt"]).alias(f"key{k}") for k, f in enumerate(fd.RECORD_KEY)])
+
 
+def compared(gold: Column, pred: Column) -> Column:
+    """array<struct<g,p,e>>: for each field, whether gold and prediction have it, and whether they agree."""
+    return F.zip_with(gold, pred, lambda x, y: F.struct(x.isNotNull().alias("g"), y.isNotNull().alias("p"), F.coalesce(normal_equal(x, y), F.lit(False)).alias("e")))
 
-def pairs(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matched findings side by side (g_*, p_*), and those of one side alone."""
-    names = [column_of(i) for i in range(len(fd.FINDING_FIELDS))]
-    g = gold.select("id", F.col("pos").alias("gold_pos"), *[F.col(c).alias(f"g_{c}") for c in names])
-    p = pred.select("id", F.col("pos").alias("pred_pos"), *[F.col(c).alias(f"p_{c}") for c in names])
-    return matches.select("id", "gold_pos", "pred_pos").join(g, ["id", "gold_pos"], "full").join(p, ["id", "pred_pos"], "full")
 
+def marks(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """(id, marks): matched findings compared field by field, and those of one side alone."""
+    g = gold.select("id", F.col("pos").alias("gold_pos"), F.col("vals").alias("gv"))
+    p = pred.select("id", F.col("pos").alias("pred_pos"), F.col("vals").alias("pv"))
+    both = matches.select("id", "gold_pos", "pred_pos").join(g, ["id", "gold_pos"], "full").join(p, ["id", "pred_pos"], "full")
+    none = F.array().cast(gold.schema["vals"].dataType)
+    return both.select("id", compared(F.coalesce("gv", none), F.coalesce("pv", none)).alias("marks"))
 
-def terms(digits: int | None = None) -> list[tuple[str, Column, Column, Column]]:
-    """(feature, gold present, predicted present, equal) of each field of a pair."""
-    out = []
-    for i, f in enumerate(fd.FINDING_FIELDS):
-        g, p = F.col(f"g_{column_of(i)}"), F.col(f"p_{column_of(i)}")
-        out.append((f"{fd.LIST_FIELD}.{f}", g.isNotNull(), p.isNotNull(), values_equal(g, p, f, digits)))
-    return out
 
+def similarity(weights: dict[str, float]):
+    """X3, X4 over value arrays: the share of the weight of the gold's fields on which both agree."""
+    table = [float(weights.get(f, 0.0)) for f in FINDING]
 
-def similarity(weights: dict[str, float], digits: int | None = None):
-    at = {f: column_of(i) for i, f in enumerate(fd.FINDING_FIELDS)}
-    return lambda g, p: matching.weighted_similarity([(g(at[f]).isNotNull(), values_equal(g(at[f]), p(at[f]), f, digits), float(w)) for f, w in weights.items()])
+    def of(g, p) -> Column:
+        terms = F.zip_with(compared(g("vals"), p("vals")), F.array(*[F.lit(w) for w in table]), lambda m, w: F.struct(F.when(m["g"], w).otherwise(0.0).alias("t"), F.when(m["g"] & m["p"] & m["e"], w).otherwise(0.0).alias("s")))
+        sums = F.aggregate(terms, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s")), lambda a, x: F.struct((a["t"] + x["t"]).alias("t"), (a["s"] + x["s"]).alias("s")))
+        return F.coalesce(F.try_divide(sums["s"], sums["t"]), F.lit(0.0))
+
+    return of
 
 
 def casewise(cases: DataFrame) -> DataFrame:
     """A1, A2: (id, tp, fp, fn, precision, recall, f1, iou) of every case, by its findings."""
     gold, pred = cut(finding_rows(cases, "gold")), cut(finding_rows(cases, "prediction"))
     matches = matching.align(gold, pred, ["id"], ["key0", "key1"], "pos", similarity(fd.WEIGHTS))
-    credit = scoring.total([scoring.partial_credit(g, p, e) for _, g, p, e in terms()])
-    scored = pairs(gold, pred, matches).select("id", *[v.alias(k) for k, v in credit.items()])
+    count = lambda holds: F.size(F.filter("marks", holds)).cast("double")
+    n = marks(gold, pred, matches).select("id", count(lambda m: m["g"] & m["p"] & m["e"]).alias("same"), count(lambda m: m["g"] & m["p"] & ~m["e"]).alias("other"), count(lambda m: m["g"] & ~m["p"]).alias("missing"), count(lambda m: ~m["g"] & m["p"]).alias("extra"))
+    same, other, missing, extra = (F.col(c) for c in ("same", "other", "missing", "extra"))
+    scored = n.select("id", (2 * same + other).alias("tp"), (0.5 * other + 2 * extra).alias("fp"), (0.5 * other + 2 * missing).alias("fn"))
     # a case without findings on either side has no pair, and counts as right
     none = cases.select("id", *[F.lit(0.0).alias(c) for c in ("tp", "fp", "fn")])
     return scoring.case_scores(scored.unionByName(none), ["id"])
@@ -88,15 +102,19 @@ def casewise(cases: DataFrame) -> DataFrame:
 
 def featurewise(cases: DataFrame) -> DataFrame:
     """(id, feature, gold_appearances, TP, FP, FN) of every case and feature, report fields too."""
-    gold, pred = cut(finding_rows(cases, "gold")), cut(finding_rows(cases, "prediction"))
-    matches = matching.align(gold, pred, ["id"], ["key0", "key1", "key2"], "pos", similarity(dict.fromkeys(fd.SIMILARITY_FIELDS, 1.0), 3), complete=False)
-    inner = scoring.feature_events(pairs(gold, pred, matches), terms(3), ["id"])
-    top = cases.select("id", F.from_json("gold", _REPORT).alias("g"), F.from_json("prediction", _REPORT).alias("p"))
-    fields = []
-    for f in fd.REPORT_FIELDS:
-        g, p = F.col("g").getField(f), F.col("p").getField(f)
-        fields.append((f, ~is_null(g), ~is_null(p), values_equal(g, p, f, 3)))
-    return scoring.feature_events(top, fields, ["id"]).unionByName(inner)
+    gold, pred = cut(finding_rows(cases, "gold", 3)), cut(finding_rows(cases, "prediction", 3))
+    matches = matching.align(gold, pred, ["id"], ["key0", "key1", "key2"], "pos", similarity(dict.fromkeys(fd.SIMILARITY_FIELDS, 1.0)), complete=False)
+    inner = marks(gold, pred, matches)
+    kind = text_type(fd.REPORT_FIELDS)
+    top = cases.select("id", compared(normal_values(F.from_json("gold", kind), REPORT, 3), normal_values(F.from_json("prediction", kind), REPORT, 3)).alias("marks"))
+
+    def events(df: DataFrame, names: list[str]) -> DataFrame:
+        x = df.select("id", F.posexplode("marks").alias("i", "m"))
+        both = F.col("m.g") & F.col("m.p") & F.col("m.e")
+        return x.select("id", F.get(F.array(*[F.lit(f) for f in names]), F.col("i")).alias("feature"), F.col("m.g").cast("long").alias("gold_appearances"), both.cast("long").alias("TP"), (F.col("m.p") & ~both).cast("long").alias("FP"), (F.col("m.g") & ~both).cast("long").alias("FN"))
+
+    rows = events(top, list(REPORT)).unionByName(events(inner, [f"{fd.LIST_FIELD}.{f}" for f in FINDING]))
+    return rows.groupBy("id", "feature").agg(*[F.sum(c).alias(c) for c in ("gold_appearances", "TP", "FP", "FN")])
 
 
 def evaluate(dataset: DataFrame, client: Callable[[str], str], context: int, max_new: int, template=lambda t: t, tokens=generation.white_space_tokens, dense: bool = False) -> Arm:

@@ -146,7 +146,7 @@ def count_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "labels_and_intervals",
-    """SELECT n_nationkey, 'Field ' || n_nationkey || ' (mm)' AS label, printf('%.3f (%.3f, %.3f)', n_nationkey / 7.0, n_nationkey / 8.0, n_nationkey / 6.0) AS ci, printf('%+.2f (%+.2f, %+.2f)', n_nationkey * 100 / 16.0, -n_nationkey * 100 / 32.0, n_nationkey * 100 / 8.0) AS delta, CASE WHEN n_regionkey = 0 THEN '' ELSE printf('%.4f', n_nationkey / 3.0) END AS shown, printf('%+.2f', n_nationkey - 12.5) AS change FROM nation""",
+    """SELECT n_nationkey, 'Field ' || n_nationkey || ' (mm)' AS label, printf('%.3f (%.3f, %.3f)', n_nationkey / 7.0, n_nationkey / 8.0, n_nationkey / 6.0) AS ci, printf('%+.2f (%+.2f, %+.2f)', n_nationkey * 100 / 16.0, -(n_nationkey::DOUBLE) * 100 / 32.0, n_nationkey * 100 / 8.0) AS delta, CASE WHEN n_regionkey = 0 THEN '' ELSE printf('%.4f', n_nationkey / 3.0) END AS shown, printf('%+.2f', n_nationkey - 12.5) AS change FROM nation""",
 )
 def labels_and_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Short feature names, intervals, signed changes and fixed decimals."""
@@ -157,7 +157,7 @@ def labels_and_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "summary_getters",
-    """SELECT c_custkey, c_custkey + 0.5 AS f1, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::DOUBLE END AS mean FROM customer""",
+    """SELECT c_custkey, CAST(c_custkey + 0.5 AS DOUBLE) AS f1, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::DOUBLE END AS mean FROM customer""",
 )
 def summary_getters(spark: SparkSession, d: str) -> DataFrame:
     """A number that must be there, and a nested one that may be missing."""

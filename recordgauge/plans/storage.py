@@ -27,7 +27,7 @@ def read_record_list(spark: SparkSession, d: str) -> DataFrame:
     readers.require(spark, path, nonempty=True)
     rows = readers.records(spark, path)
     n = rows.agg(F.count("*").cast("int").alias("listed"))
-    return rows.select(F.col("pos").cast("long").alias("pos"), F.from_json("value", "n_nationkey long, n_name string").alias("x")).select("pos", "x.*").join(n)  # one row
+    return rows.select(F.col("pos").cast("long").alias("pos"), F.from_json("value", "n_nationkey int, n_name string").alias("x")).select("pos", "x.*").join(n)  # one row
 
 
 @register("read_refusals", """SELECT unnest(['an object file', 'empty list', 'list of numbers', 'missing', 'empty file', 'unknown format', 'format not allowed', 'repeated feature', 'no rows for csv', 'replace refused']) AS what, unnest([false, true, true, true, true, true, true, true, true, true]) AS refused""")
