@@ -39,7 +39,7 @@ from recordgauge.session import cut
 
 CHUNK, OVERLAP = 32_768, 512
 #: Pre-token ids kept by a worker: cleared when full.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Codec:
