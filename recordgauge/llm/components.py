@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordgauge.session import cut
+from recordgauge.session import cut, free
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,19 +20,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label = None
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("comp")))
-        up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        once = parent.join(up, "comp").select("id", F.col("top").alias("comp"))
+        hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")).select("id", F.least("id", "p").alias("comp")))
+        up = hook.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        once = hook.join(up, "comp").select("id", F.col("top").alias("comp"))
         parent = cut(once.join(up, "comp").select("id", F.col("top").alias("comp")))
+        free(hook)
         if label is None:
             label = parent
         else:
             up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-            label = cut(label.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")))
+            before, label = label, cut(label.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")))
+            free(before)
         left = parent.select(F.col("id").alias("a"), F.col("comp").alias("x"))
         right = parent.select(F.col("id").alias("b"), F.col("comp").alias("y"))
         moved = e.join(left, "a").join(right, "b").filter("x <> y")
-        e = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, e = e, cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        free(before, *([] if label is parent else [parent]))
     if label is None:
         return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return label

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from recordgauge.session import checkpoint_root
+from recordgauge.session import scratch
 
 BLOCK = 192
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 32 << 20, 8 << 20, 4 << 20, 3
@@ -239,9 +239,7 @@ def describe(media: DataFrame) -> DataFrame:
 
 def op5(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
-    folder = f"{checkpoint_root(spark)}/media-{uuid.uuid4().hex}"
+    folder = scratch(spark, "media")
     write_archives(documents, "doc_id", "text", folder)
-    gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    gone.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(gone)
     done = describe(read_archives(spark, folder))
     return done.select(F.col("key").cast(documents.schema["doc_id"].dataType).alias("doc_id"), *done.columns[1:])

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from recordgauge.llm.components import connected_components
 from recordgauge.llm.shingles import constants, mix, overlap, shingle_set, slices
-from recordgauge.session import cut
+from recordgauge.session import cut, free
 
 HALVES, PER_HALF, PERCENT = 10, 2, 75
 #: Bits of a parity sketch: bounds sets up to some SKETCH shingles well, longer ones less.
@@ -169,12 +169,14 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     members = cut(some.select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode(table).alias("slot", "key")))
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail").select("key", "head")
     shared = cut(members.join(heads, "key"))
+    free(members)
 
     # stars
     sizes = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
     stars = shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"), "n").distinct()
     stars = cut(stars.join(sizes, "a").filter(could("n", "na")).select("a", "b"))
     star = cut(measure(stars, docs, percent))
+    free(stars)
     found = star.filter("linked").select("a", "b")
     comps = connected_components(found)
 
@@ -200,6 +202,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     here = first_common("c0", F.floor(F.col("slot") / HALVES)) & first_common("c1", F.col("slot") % HALVES)
     pairs = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & alike & here)
     pairs = cut(pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
+    free(shared, own)
     more = measure(pairs, docs, percent).filter("linked").select("a", "b")
     return cut(found.unionByName(more))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from recordgauge.llm import bpe, chat_format, decontaminate, html_text, line_dedup, media, minhash, pii, quality, url_filter
+from recordgauge.llm import bpe, chat_format, decontaminate, html_text, line_dedup, media, minhash, pii, pipeline, quality, url_filter
 from recordgauge.session import table
 
 
@@ -19,7 +18,7 @@ def queries() -> dict:
         "op8_decontamination": lambda s, d: decontaminate.op8(table(s, d, "documents"), table(s, d, "benchmark")),
         "op9_chat_format": lambda s, d: chat_format.op9(table(s, d, "conversations")),
         "op10_url_filter": lambda s, d: url_filter.op10(table(s, d, "pages")),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
