@@ -69,9 +69,3 @@ def date_value(text: str) -> tuple | None:
     if len(n) == 2:
         return ("month", n[1], n[0]) if 1 <= n[0] <= 12 and n[1] else None
     return ("year", n[0]) if n[0] else None
-
-
-def date_text(c: Column) -> Column:
-    """A date key as text, for joins and digests."""
-    k = date_key(c)
-    return F.when(k.isNotNull(), F.concat_ws("-", k["precision"], k["y"].cast("string"), k["m"].cast("string"), k["d"].cast("string")))

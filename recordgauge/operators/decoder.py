@@ -293,10 +293,8 @@ class Sampling:
         return out
 
 
-def choose_column(df: DataFrame, logits: str, sampling: Sampling, history: list[int], illegal: int) -> DataFrame:
-    """C11 over a column of logits: `chosen`, the token after the transforms; every `illegal`-th token (from 0) is not allowed.
-
-    The history is every legal token of even id, once."""
+def choose_column(df: DataFrame, logits: str, allowed: str, history: str, sampling: Sampling) -> DataFrame:
+    """C11 over columns: `chosen`, the token that the transforms leave of each row's logits; null where nothing is allowed."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("chosen", T.IntegerType())])
@@ -305,12 +303,8 @@ def choose_column(df: DataFrame, logits: str, sampling: Sampling, history: list[
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for row in b.column(logits).to_pylist():
-                x = np.array(row, dtype=np.float64)
-                legal = [t for t in range(len(x)) if t % illegal]
-                seen = [t for t in legal if t % history[0] == history[1]]
-                out.append(int(np.argmax(sampling.choose(x, seen, legal))))
+            rows = zip(*[b.column(c).to_pylist() for c in (logits, allowed, history)], strict=True)
+            out = [int(np.argmax(sampling.choose(np.array(x, dtype=np.float64), list(seen or []), list(legal)))) if legal else None for x, legal, seen in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=schema.names)
 
     return df.mapInArrow(run, schema)

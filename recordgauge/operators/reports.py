@@ -109,12 +109,6 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(["" if v is None else str(v) for v in r]) for r in rows)])
 
 
-def latex_rows(df: DataFrame, formats: dict[str, str]) -> DataFrame:
-    """K8: one text row a row: cells by format, joined by & and closed."""
-    cells = [F.coalesce(F.format_string(f, F.col(c)), F.lit("--")) for c, f in formats.items()]
-    return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("row"))
-
-
 def escaped(c: Column) -> Column:
     """Text for a table row: percent signs and underscores escaped."""
     return F.replace(F.replace(c, F.lit("%"), F.lit(r"\%")), F.lit("_"), F.lit(r"\_"))

@@ -368,7 +368,9 @@ def decoder_audit(spark: SparkSession, d: str) -> DataFrame:
 def decoder_sampling(spark: SparkSession, d: str) -> DataFrame:
     """Penalties, temperature and truncation inside the legal set, then the greatest; one choice a vector."""
     sampling = decoder.Sampling(temperature=0.7, top_p=0.9, min_p=0.1, repetition=1.5, frequency=0.2, presence=0.05)
-    return decoder.choose_column(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", sampling, [2, 0], 3).select("vec_id", "chosen")
+    x = table(spark, d, "embeddings").select("vec_id", "embedding", F.filter(F.sequence(F.lit(0), F.size("embedding") - 1), lambda t: t % 3 != 0).alias("allowed"))
+    x = x.withColumn("history", F.filter("allowed", lambda t: t % 2 == 0))
+    return decoder.choose_column(x, "embedding", "allowed", "history", sampling).select("vec_id", "chosen")
 
 
 @register("native_text_functions", """SELECT n_nationkey, (n_nationkey % 3 = 0) AS is_null, n_nationkey / nullif(n_regionkey, 0) AS ratio, '{"a":' || n_nationkey || '}' AS parsed, CASE WHEN n_nationkey % 2 = 0 THEN 'day' ELSE 'month' END AS precision, n_nationkey % 2 = 0 AS same, n_nationkey % 2 = 0 AS valid FROM nation""")

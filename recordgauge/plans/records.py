@@ -101,6 +101,34 @@ def canonical_keys_typed(spark: SparkSession, d: str) -> DataFrame:
     return x.select("lang", "n", F.array_join(F.sort_array(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("entries"))
 
 
+@register("spaced_keys", """SELECT c_custkey, '{"Long Axis (mm)":[{"Nodule ID":' || c_custkey || '}],"x":{"Lung RADS":null}}' AS record FROM customer""")
+def spaced_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of all levels stripped and with single spaces."""
+    return customers(spark, d, jsonx.spaced_keys_json(text_of('{" x ": {"Lung \\t RADS": null}, "Long  Axis (mm) ": [{"Nodule  ID": ', key(), "}]}")).alias("record"))
+
+
+@register(
+    "pruned_records",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '{"D":2}' ELSE '{"A":["' || c_custkey || '"],"D":2}' END AS record FROM customer""",
+)
+def pruned_records(spark: SparkSession, d: str) -> DataFrame:
+    """Null leaves and containers that become empty go, at any depth of JSON text."""
+    raw = text_of('{"A": [null, ', F.when(key() % 3 == 0, '" none "').otherwise(text_of('"', key(), '"')), '], "B": {"C": {"E": "N/A"}}, "D": 2}')
+    return customers(spark, d, jsonx.prune_json(raw).alias("record"))
+
+
+@register(
+    "token_difference",
+    """SELECT conv_id, turn, role, CAST(CASE WHEN turn % 3 = 0 THEN -1 WHEN turn % 3 = 1 THEN len(string_split(text, ' ')) ELSE 0 END AS BIGINT) AS place FROM conversations""",
+)
+def token_difference(spark: SparkSession, d: str) -> DataFrame:
+    """T-16 over tokens: the first that differs, the length where one text goes on, none where they agree."""
+    k = F.col("turn") % 3
+    other = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit("!"), "text"))
+    at = text.first_token_difference(F.split("text", " ", -1), F.split(other, " ", -1))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(at, F.lit(-1)).cast("long").alias("place"))
+
+
 @register(
     "unwrap_and_path",
     """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey + 1 END AS value FROM customer""",
@@ -555,15 +583,11 @@ def report_orders(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 3
     r = x.groupBy(F.when(k == 0, "sparse").when(k == 1, "dense").otherwise("constrained").alias("regime")).agg(F.count("*").alias("n"))
 
-    def joined(df: DataFrame, name: str, c: str = "source") -> DataFrame:
-        rows = [row[c] for row in df.select(c).collect()]  # a report's rows
-        return spark.createDataFrame([(",".join(rows),)], f"{name} string")
+    def listed(df: DataFrame, c: str = "source") -> str:
+        return ",".join(row[c] for row in df.select(c).collect())  # a report's rows
 
-    parts = [joined(reports.ordered(f, "f1", "source"), "by_f1"), joined(reports.ordered(f, "f1", "source", largest=False), "by_f1_up"), joined(reports.ordered(f, "support", "source"), "by_support"), joined(f.orderBy("source"), "by_name"), joined(reports.by_category(r, "regime", reports.REGIMES), "by_regime", "regime")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p)  # one row each
-    return out
+    row = (listed(reports.ordered(f, "f1", "source")), listed(reports.ordered(f, "f1", "source", largest=False)), listed(reports.ordered(f, "support", "source")), listed(f.orderBy("source")), listed(reports.by_category(r, "regime", reports.REGIMES), "regime"))
+    return spark.createDataFrame([row], "by_f1 string, by_f1_up string, by_support string, by_name string, by_regime string")
 
 
 @register(

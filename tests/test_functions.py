@@ -39,7 +39,7 @@ def test_equality(spark):
     rows = [("1", "1.005", True), ("1", "1.02", False), ("a  b", " A b", True), (None, "none", True), (None, "0", False), ("nan", "nan", False), ("1d", "1", False), ("1_000", "1000", True), ("inf", "inf", False), ("x", "1", False)]
     df = spark.createDataFrame(rows, "a string, b string, same boolean").coalesce(1)
     got = df.select(equality.values_equal(F.col("a"), F.col("b")).alias("x"), "same", "a").collect()
-    assert [r.x for r in got if r.a != "inf"] == [r.same for r in got if r.a != "inf"]
+    assert [r.x for r in got] == [r.same for r in got]
     day = df.limit(1).select(equality.values_equal(F.lit("3/2/22"), F.lit("03/02/2022"), "Comparison Date"), equality.values_equal(F.lit("3/2/22"), F.lit("03/02/2022"), "Lobe")).first()
     assert list(day) == [True, False]
 

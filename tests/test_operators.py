@@ -93,8 +93,12 @@ def test_bootstrap_relational_equals_matrix(spark):
     per = np.array([[sum(r[k] for r in rows if r[0] == i) for k in (3, 4, 5)] for i in range(4)])
     t = m @ per
     assert all(abs(got[b] - 2 * t[b, 0] / (2 * t[b, 0] + t[b, 1] + t[b, 2])) < 1e-12 for b in range(30))
-    one = bootstrap.matrix_distribution(c, 4, iterations=120, block=50)
-    assert one.count() == 120 and sorted(map(tuple, one.collect())) == sorted(map(tuple, bootstrap.matrix_distribution(c, 4, iterations=120, block=50).collect()))
+    one = {r["iter"]: r.f1 for r in bootstrap.matrix_distribution(c, 4, iterations=120, block=50, seed=3).collect()}
+    drawn = bootstrap.weights(np.random.default_rng(3), 120, 4)
+    # the same multiplicities through the relational path give the same replicates
+    rows = [(b, i, int(drawn[b, i])) for b in range(120) for i in range(4) if drawn[b, i]]
+    same = {r["iter"]: r.f1 for r in bootstrap.micro_distribution(c, spark.createDataFrame(rows, "iter long, idx long, w long")).collect()}
+    assert len(one) == 120 and all(abs(one[b] - same[b]) < 1e-12 for b in range(120))
     assert bootstrap.paired_delta(bootstrap.micro_distribution(c, w), bootstrap.micro_distribution(c, w)).filter("f1 <> 0").isEmpty()
 
 
@@ -174,3 +178,16 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     q.stop()
     batch = {r.feature: (r.TP, r.FN) for r in scoring.feature_scores(df).collect()}
     assert {r.feature: (r.TP, r.FN) for r in spark.table("running").collect()} == batch
+
+
+def test_windowed_stream_scores(spark, tmp_path):
+    from recordgauge.streaming import scores
+
+    df = spark.range(7200).select((F.col("id") % 3).cast("string").alias("feature"), F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000).alias("ts"), F.lit(1).cast("long").alias("gold_appearances"), (F.col("id") % 2).alias("TP"), F.lit(0).cast("long").alias("FP"), (1 - F.col("id") % 2).alias("FN"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = scores.windowed_scores(stream, "ts").writeStream.outputMode("update").format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {(r.hour, r.feature): r.TP for r in df.groupBy(F.window("ts", "1 hour").start.alias("hour"), "feature").agg(F.sum("TP").alias("TP")).collect()}
+    assert {(r.window.start, r.feature): r.TP for r in spark.table("windowed").collect()} == want
