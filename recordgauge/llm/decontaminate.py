@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import random
 import re
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -69,7 +68,6 @@ def pair_hashes(w: np.ndarray) -> np.ndarray:
     return mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
 
 
-@lru_cache(maxsize=64)
 def walk(n: int, reps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of windows of n words: a random factor for each (step, repetition), the steps that each repetition samples, and those any does."""
     steps = 2 * n
@@ -79,9 +77,10 @@ def walk(n: int, reps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return constants(MOST * steps, 1000 + n).reshape(MOST, steps)[:reps].T[:, :, None], taken, taken.any(axis=1)
 
 
-def keys(w: np.ndarray, starts: np.ndarray, n: int, reps: int) -> np.ndarray:
-    """(reps, len(starts)) LSH keys of the embedded n-word windows of w at `starts`."""
-    factors, taken, used = walk(n, reps)
+def keys(w: np.ndarray, starts: np.ndarray, n: int, made: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """(R, len(starts)) LSH keys of the n-word windows of w at `starts`, embedded by the walk `made`."""
+    factors, taken, used = made
+    reps = taken.shape[1]
     padded = np.append(w, np.zeros(n + 1, dtype=np.uint64))
     at, end = np.tile(starts, (reps, 1)), starts + n
     key = np.full((reps, len(starts)), np.uint64(n))
@@ -104,12 +103,22 @@ def edited(block: list[int], kind: str, k: int, r: random.Random) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=64)
+#: R by block size and recall, once measured.
+_MEASURED: dict[tuple[int, float], int] = {}
+
+
 def repetitions(n: int, recall: float = RECALL) -> int:
     """R for blocks of n words: measured on made-up blocks with exactly the permitted edits."""
+    if (n, recall) not in _MEASURED:
+        _MEASURED[n, recall] = measured(n, recall)
+    return _MEASURED[n, recall]
+
+
+def measured(n: int, recall: float) -> int:
     k, r, wide, need = limit(n), random.Random(n), 3 * n, 1
     if not k:
         return 1
+    made = walk(n, MOST)
     for kind in ("substitute", "delete", "insert", "mixed"):
         plain, changed = [], []
         for _ in range(TRIALS):
@@ -118,7 +127,7 @@ def repetitions(n: int, recall: float = RECALL) -> int:
             plain += block + [0] * (wide - n)
             changed += other + [r.getrandbits(63) for _ in range(wide - len(other))]
         starts = np.arange(TRIALS) * wide
-        same = keys(np.array(plain, dtype=np.uint64), starts, n, MOST) == keys(np.array(changed, dtype=np.uint64), starts, n, MOST)
+        same = keys(np.array(plain, dtype=np.uint64), starts, n, made) == keys(np.array(changed, dtype=np.uint64), starts, n, made)
         found = np.logical_or.accumulate(same, axis=0).mean(axis=1)
         need = max(need, int(np.searchsorted(found, recall)) + 1)
     return min(need, MOST)
@@ -183,13 +192,14 @@ class Index:
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         #: By block size, R tables of key -> blocks.
-        self.reps = reps if reps is not None else repetitions_of(items)
+        reps = reps if reps is not None else repetitions_of(items)
+        self.walks = {n: walk(n, reps[n]) for n in set(self.length.tolist())}
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for n in sorted(set(self.length.tolist())):
             members = np.flatnonzero(self.length == n).tolist()
-            tables: list[dict[int, list[int]]] = [{} for _ in range(self.reps[n])]
+            tables: list[dict[int, list[int]]] = [{} for _ in range(reps[n])]
             joined = np.concatenate([parts[k] for k in members])
-            for r, row in enumerate(keys(joined, np.arange(len(members)) * n, n, self.reps[n]).tolist()):
+            for r, row in enumerate(keys(joined, np.arange(len(members)) * n, n, self.walks[n]).tolist()):
                 for k, key in zip(members, row, strict=True):
                     tables[r].setdefault(key, []).append(k)
             self.tables[n] = tables
@@ -252,7 +262,7 @@ class Index:
             starts = np.unique(np.concatenate(lists))
             for low in range(0, len(starts), 512):
                 part = starts[low : low + 512]
-                for table, row in zip(self.tables[n], keys(w, part, n, self.reps[n]).tolist(), strict=True):
+                for table, row in zip(self.tables[n], keys(w, part, n, self.walks[n]).tolist(), strict=True):
                     for start, key in zip(part.tolist(), row, strict=True):
                         for k in table.get(key, ()):
                             yield k, start
