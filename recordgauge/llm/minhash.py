@@ -13,11 +13,14 @@ components. There, classes outside the component of the key's head are compared
 of other components, unless one of three bounds proves that they can't be similar enough:
 the sizes; the triangle inequality of the Jaccard distance, with the measured distances to
 the head; parity sketches of SKETCH bits, which differ in no more bits than the sets do in
-shingles. A pair that shares several keys is compared at the first of them only. Nothing is capped or sampled; the
+shingles. Nothing is capped or sampled; the
 comparisons that stay grow with (classes outside the head's component) x (classes of the
-key), which is many only where many documents lie just below the similarity.
+key), which is many only where many documents lie just below the similarity, as short texts
+around a common line do: there it is the square of their number. A comparison reads plain
+columns, a key of more than PAIRS_A_TASK pairs is dealt over several tasks,
+and pairs found at several keys are measured once.
 
-Scale: signatures are one Arrow pass; table rows are 28 bytes, made once by evenly dealt
+Scale: signatures are one Arrow pass; table rows are 20 bytes, made once by evenly dealt
 tasks; hot keys are partially aggregated, and joins on them read plain tables, whose skewed
 partitions adaptive execution splits; confirmation fetches the whole texts of candidate
 pairs only.
@@ -32,10 +35,10 @@ empty table.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_
+from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +51,10 @@ HALVES, PER_HALF, PERCENT = 10, 2, 75
 SKETCH = 1024
 #: Up to so many ids of candidates (8 bytes each) are broadcast, so that only their texts are shuffled.
 FEW_IDS = 500_000
-#: Table rows (of some 28 bytes) that one task makes.
+#: Table rows (of some 20 bytes) that one task makes.
 ROWS_A_TASK = 1_000_000
+#: Pairs of one key that one task compares; a key of more is dealt over several.
+PAIRS_A_TASK = 4_000_000
 
 SIGNATURE = T.StructType([
     T.StructField("n_shingles", T.LongType()),
@@ -153,6 +158,21 @@ def measure(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(run, schema)
 
 
+def sides(rest: DataFrame, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` outside the home of their key (x_*), and all (y_*), to be joined on key, i, j.
+
+    A key of more than PAIRS_A_TASK pairs (counted in `rest`) is a grid of parts x parts cells: x lies in
+    one row of cells, y in one column, so each pair meets in one cell."""
+    load = rest.groupBy("key").agg(F.count(F.when(F.col("comp") != F.col("home"), 1)).alias("x"), F.count("*").alias("y"))
+    load = cut(load.filter(F.col("x") * F.col("y") > PAIRS_A_TASK).select("key", F.ceil(F.sqrt(F.col("x") * F.col("y") / PAIRS_A_TASK)).alias("parts")))
+    if load.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        load = F.broadcast(load)
+    rows = rows.join(load, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    own, cells = F.pmod(F.xxhash64("rep"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = rows.filter("comp <> home").select("key", own.alias("i"), cells.alias("j"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    return x, rows.select("key", "home", cells.alias("i"), own.alias("j"), *[F.col(c).alias(f"y_{c}") for c in columns])
+
+
 def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to give their components.
 
@@ -166,7 +186,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     some = classes.filter("n_shingles > 0")
     # a class becomes HALVES**2 rows: dealt out by their number, so that no task makes more than ROWS_A_TASK
     some = some.repartition(some.count() * HALVES**2 // ROWS_A_TASK + 1)
-    members = cut(some.select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode(table).alias("slot", "key")))
+    members = cut(some.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode(table).alias("key")))
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail").select("key", "head")
     shared = cut(members.join(heads, "key"))
     free(members)
@@ -185,24 +205,20 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     rows = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("home")).filter("lo <> hi").select("key", "home")
     rest = rows.join(spread, "key").filter("rep <> head").join(d, ["head", "rep"], "left")
-    rest = cut(rest.select("key", "slot", "rep", "n", "comp", "home", "distance"))
-    own = cut(sketches(few(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()))).join(classes.select("rep", "c0", "c1"), "rep"))
-    rest = rest.join(own, "rep")
-    x = rest.filter("comp <> home").select("key", "slot", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
-    y = rest.select("key", "home", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "comp", "distance", "sketch", "c0", "c1")])
+    rest = cut(rest.select("key", "rep", "n", "comp", "home", "distance"))
+    free(shared)
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    own = cut(sketches(few(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct()))).select("rep", *[F.col("sketch")[k].alias(c) for k, c in enumerate(bits)]))
+    x, y = sides(rest, rest.join(own, "rep"), ["rep", "n", "comp", "distance", *bits])
     once = (F.col("y_comp") == F.col("home")) | (F.col("x_rep") < F.col("y_rep"))
     near = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= most + 1e-9, F.lit(True))
-    differ = reduce(add, [F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH // 64)])
+    # for every pair: plain columns, no arrays, and no search for the first key that both share
+    differ = reduce(add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in bits])
     n = F.col("x_n") + F.col("y_n")
     alike = (100 + percent) * differ <= (100 - percent) * n  # else n - differ < percent % of n + differ
-
-    def first_common(c: str, at: Column) -> Column:
-        return reduce(and_, [(at <= k) | (F.col(f"x_{c}")[k] != F.col(f"y_{c}")[k]) for k in range(HALVES)])
-
-    here = first_common("c0", F.floor(F.col("slot") / HALVES)) & first_common("c1", F.col("slot") % HALVES)
-    pairs = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & alike & here)
+    pairs = x.join(y, ["key", "i", "j"]).filter((F.col("x_comp") != F.col("y_comp")) & once & could("x_n", "y_n") & near & alike)
     pairs = cut(pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
-    free(shared, own)
+    free(rest, own)
     more = measure(pairs, docs, percent).filter("linked").select("a", "b")
     return cut(found.unionByName(more))
 

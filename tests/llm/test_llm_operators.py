@@ -623,6 +623,29 @@ def test_near_duplicates_in_a_hot_key(spark):
     assert got[(len(t), 1)] == len(t)
 
 
+def test_near_duplicates_of_a_key_in_cells(spark, monkeypatch):
+    """A key of more pairs than a task compares is dealt over cells: each pair meets in one of them."""
+    rest = spark.createDataFrame([(k, r, 10, r, 0) for k, m in ((1, 40), (2, 3)) for r in range(m)], "key long, rep long, n int, comp long, home long")
+    monkeypatch.setattr(minhash, "PAIRS_A_TASK", 100)
+    x, y = minhash.sides(rest, rest, ["rep"])
+    met = x.join(y, ["key", "i", "j"]).groupBy("key", "i", "j").count().collect()
+    assert x.join(y, ["key", "i", "j"]).select("key", "x_rep", "y_rep").distinct().count() == sum(m["count"] for m in met) == 39 * 40 + 2 * 3
+    assert len([m for m in met if m.key == 1]) == 16 and len([m for m in met if m.key == 2]) == 1
+    monkeypatch.setattr(minhash, "PAIRS_A_TASK", 50)
+    test_near_duplicates_in_a_hot_key(spark)
+
+
+def test_near_duplicates_around_a_common_line(spark):
+    """Thousands of short texts around one line, below the threshold: over 100 million pairs of equal keys."""
+    line = " ".join(f"s{k}" for k in range(24))
+    t = [(g, f"{line} " + " ".join(f"o{g}x{k}" for k in range(8))) for g in range(5000)]
+    t += [(5000 + g, t[g][1] + " end") for g in range(0, 5000, 100)]
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in minhash.op6(docs(spark, t)).collect()}
+    assert got == {k: k % 5000 for k, _ in t}
+    assert time.time() - began < 60
+
+
 def test_decontamination_with_clashing_columns(spark):
     b = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
     d = docs(spark, [(1, "say one two three four five six"), (2, "nothing"), (2, "nothing")]).withColumns({"item_id": F.lit("x"), "start": F.lit(1), "distance": F.lit(2)})
