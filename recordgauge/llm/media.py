@@ -5,7 +5,9 @@ ZIP archives below a shared folder. `MediaArchives` is a Spark data source over
 folder: it plans partitions as byte ranges of the archives, from file sizes alone; a reader
 takes the members whose headers begin in its range from the archive's central directory,
 reads each by its offset, retries it alone when reading or its checksum fails, and streams
-batches of bounded bytes through Arrow.
+batches of bounded bytes through Arrow. With `digests` "true" the reader gives digests and
+features of each member in place of its bytes, which then never pass through the JVM. The
+writer gets its texts in Arrow batches of some BATCH_BYTES, or one longer text.
 
 Scale and recovery: a task writes archives of at most ARCHIVE_BYTES (or one member) under a
 temporary name and renames them, and names depend on the partition alone, so a task that
@@ -39,6 +41,7 @@ from recordgauge.session import scratch
 BLOCK = 192
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 32 << 20, 8 << 20, 4 << 20, 3
 SCHEMA = "archive string, member string, offset bigint, payload binary, error string"
+DIGESTS = "key string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
 def open_fs(uri: str):
@@ -115,7 +118,14 @@ def write_archives(df: DataFrame, key: str, text: str, folder: str, archive_byte
         close()
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64())], names=["rows"])
 
-    df.select(key, text).mapInArrow(run, "rows bigint").agg(F.sum("rows")).collect()
+    # each task's batch lies outside the JVM's heap
+    conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(bound)
+    conf.set(bound, str(BATCH_BYTES))
+    try:
+        df.select(key, text).mapInArrow(run, "rows bigint").agg(F.sum("rows")).collect()
+    finally:
+        conf.set(bound, before)
 
 
 @dataclass
@@ -125,15 +135,19 @@ class ByteRange(InputPartition):
     end: int
 
 
+def flag(options, name: str) -> bool:
+    return options.get(name, "false").lower() == "true"
+
+
 class MediaArchives(DataSource):
-    """format("media_archives"): options `path`, `range_bytes`, `batch_bytes`, `retries`, `permissive`."""
+    """format("media_archives"): options `path`, `range_bytes`, `batch_bytes`, `retries`, `permissive`, `digests`."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA.replace("payload binary", DIGESTS) if flag(self.options, "digests") else SCHEMA
 
     def reader(self, schema) -> MediaReader:
         return MediaReader(self.options)
@@ -145,7 +159,7 @@ class MediaReader(DataSourceReader):
         self.range = int(options.get("range_bytes", RANGE_BYTES))
         self.batch = int(options.get("batch_bytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
-        self.permissive = options.get("permissive", "false").lower() == "true"
+        self.permissive, self.digests = flag(options, "permissive"), flag(options, "digests")
 
     def partitions(self) -> list[ByteRange]:
         from pyarrow import fs
@@ -162,17 +176,20 @@ class MediaReader(DataSourceReader):
         if not partition.archive:
             return
         store, _ = open_fs(self.folder)
-        names = ["archive", "member", "offset", "payload", "error"]
+        types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+        values = DIGESTS if self.digests else "payload binary"
+        fields = [c.split() for c in SCHEMA.replace("payload binary", values).split(", ")]
         rows, held = [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
         with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as box:
             own = [i for i in box.infolist() if partition.start <= i.header_offset < partition.end]
             for info in own:
                 data, error = self.member(store, partition.archive, box, info)
-                rows.append((partition.archive, info.filename, info.header_offset, data, error))
+                found = (data,) if not self.digests else describe(info.filename, data) if data is not None else (None,) * len(DIGESTS.split(", "))
+                rows.append((partition.archive, info.filename, info.header_offset, *found, error))
                 held += len(data or b"")
                 if held >= self.batch:
                     yield flush()
@@ -216,30 +233,19 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};zero={crossings};bands=" + ",".join(f"{b / total:.4f}" for b in bands)
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """The key, as text, and digests of WAV members, from the stored bytes."""
-    schema = "key string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
-    def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for name, media in zip(b.column("member").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                key, n = name.removesuffix(".wav").partition("-")[2].rsplit("-", 1)
-                raw = from_wav(media)
-                out.append((None if key == "!" else unquote(key), int(n), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(raw)))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
+def describe(member: str, media: bytes) -> tuple:
+    """The columns DIGESTS of a WAV member: its key as text, digests and features, from the stored bytes."""
+    import hashlib
 
-    return media.select("member", "payload").mapInArrow(run, schema)
+    key, n = member.removesuffix(".wav").partition("-")[2].rsplit("-", 1)
+    raw = from_wav(media)
+    return (None if key == "!" else unquote(key), int(n), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(raw))
 
 
 def op5(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     folder = scratch(spark, "media")
     write_archives(documents, "doc_id", "text", folder)
-    done = describe(read_archives(spark, folder))
-    return done.select(F.col("key").cast(documents.schema["doc_id"].dataType).alias("doc_id"), *done.columns[1:])
+    done = read_archives(spark, folder, digests="true")
+    columns = [c.split()[0] for c in DIGESTS.split(", ")]
+    return done.select(F.col("key").cast(documents.schema["doc_id"].dataType).alias("doc_id"), *columns[1:])

@@ -220,6 +220,45 @@ def test_media_ranges_and_retries(spark, tmp_path):
         media.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_media_digests_made_by_the_reader(spark, tmp_path):
+    """Media bytes stay in the reader's worker: one Python step reads a member and describes it."""
+    plan = media.op5(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "payload_sha256" in plan and "MapInArrow" not in plan and "payload#" not in plan
+    media.write_archives(docs(spark, [(k, "é" * k * 50) for k in range(60)]), "doc_id", "text", str(tmp_path), archive_bytes=2_000)
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    for made, shown in [({}, {}), ({"permissive": "true"}, {"range_bytes": "100", "batch_bytes": "500", "permissive": "true"})]:
+        want = [(r.offset, *([None] * 8 if r.payload is None else media.describe(r.member, bytes(r.payload))), r.error) for r in media.read_archives(spark, str(tmp_path), **made).collect()]
+        got = rows(media.read_archives(spark, str(tmp_path), digests="true", **shown), "offset", "key", *names, "error")
+        assert got == sorted(want, key=str) and len(got) == 60 and sum(r[-1] is not None for r in got) == bool(made)
+        victim = sorted(tmp_path.glob("*.zip"))[0]
+        raw = bytearray(victim.read_bytes())
+        raw[60] ^= 0xFF
+        victim.write_bytes(raw)
+
+
+def test_media_written_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """A worker of the writer gets some 4 MB of texts at once, not 10,000 rows or 64 MB; the session's bound stays."""
+    plain, seen = media.padded, str(tmp_path / "seen")
+
+    def padded(text):
+        import sys
+
+        import pyarrow as pa
+
+        with open(seen, "a") as f:  # the bytes of the caller's batch
+            f.writelines(f"{x.nbytes}\n" for x in sys._getframe(1).f_locals.values() if isinstance(x, pa.RecordBatch))
+        return plain(text)
+
+    monkeypatch.setattr(media, "padded", padded)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    df = spark.range(40).selectExpr("id doc_id", "repeat('x', 1000000) text").coalesce(1)
+    media.write_archives(df, "doc_id", "text", str(tmp_path / "media"))
+    held = [int(x) for x in open(seen)]
+    assert len(held) == 40 and max(held) < 2 * media.BATCH_BYTES and spark.conf.get(bound) == before
+    assert media.read_archives(spark, str(tmp_path / "media")).filter("length(payload) > 1000000").count() == 40
+
+
 def brute_near(texts):
     sets, comp = {}, {}
     for k, t in texts:
