@@ -17,7 +17,7 @@ from recordgauge.functions import fields, slots, text
 from recordgauge.operators import audits, bootstrap, decoder, matching
 from recordgauge.plans import evaluator
 from recordgauge.plans.catalogue import register
-from recordgauge.session import table
+from recordgauge.session import spread, table
 
 CONTEXT, NEW = 3000, 1000
 
@@ -51,7 +51,7 @@ def record(predicted: bool, changed: Column | None = None) -> Column:
 def dataset(spark: SparkSession, d: str, extra: str = "") -> DataFrame:
     """(id, instruction, input, output): the input is what the stub model says; every tenth prompt is too long."""
     long = F.when(key() % 10 == 9, F.repeat(F.lit("again and again "), F.lit(200))).otherwise("")
-    return table(spark, d, "customer").select(key().alias("id"), F.concat(F.lit(f"Extract the record.{extra} "), long).alias("instruction"), record(True).alias("input"), record(False).alias("output"))
+    return spread(table(spark, d, "customer").select("c_custkey")).select(key().alias("id"), F.concat(F.lit(f"Extract the record.{extra} "), long).alias("instruction"), record(True).alias("input"), record(False).alias("output"))
 
 
 def stub(prompt: str) -> str:
@@ -132,7 +132,7 @@ def saved_cases(spark: SparkSession, d: str, regime: int = 0) -> DataFrame:
     raw = F.when(key() % 7 == regime, F.lit("no record")).otherwise(F.concat(F.lit("so: "), record(True)))
     stale = F.when(key() % 5 == 0, 1.0).otherwise(0.0)
     gone = key() % 7 == regime
-    x = table(spark, d, "customer").select(key().alias("id"), raw.alias("raw"), record(False).alias("gold"), F.when(key() % 2 == 0, "{}").otherwise("x").alias("prediction"), letters(raw).alias("prompt_tokens"), F.lit(5).cast("long").alias("completion_tokens"), "c_custkey")
+    x = spread(table(spark, d, "customer").select("c_custkey")).select(key().alias("id"), raw.alias("raw"), record(False).alias("gold"), F.when(key() % 2 == 0, "{}").otherwise("x").alias("prediction"), letters(raw).alias("prompt_tokens"), F.lit(5).cast("long").alias("completion_tokens"), "c_custkey")
     n, p, w, kind = key() % 3, F.when(key() % 4 == 3, F.least(key() % 3, F.lit(1))).otherwise(key() % 3), F.when(key() % 8 == 4, 3).otherwise(4), key() % 4
     tp = F.when(gone, 0.0).otherwise(p * F.when(kind == 1, 2 * (w - 1) + 1).when(kind == 2, 2 * (w - 1)).otherwise(2 * w)).cast("double")
     fp = F.when(gone | (kind != 1), 0.0).otherwise(p * 0.5).cast("double")

@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a narrow table is read in few partitions, however much work its rows make later."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of this cluster; a temporary one only in a local session that sets none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
