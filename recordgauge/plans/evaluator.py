@@ -110,7 +110,7 @@ def controlled_pair(dataset: DataFrame, ordinary: Callable[[str], str], constrai
 
 def dense_pair(sparse: DataFrame, dense: DataFrame, ordinary: Callable[[str], str], constrained: Callable[[str], str], context: int, max_new: int) -> dict[str, DataFrame]:
     """The pair over the dense dataset, behind the audit of the two datasets."""
-    audit = audits.dataset_pair_audit(sparse, dense, "instruction", ["id", "input", "output"])
+    audit = cut(audits.dataset_pair_audit(sparse, dense, "instruction", ["id", "input", "output"]))  # read here and by the caller
     row = audit.first()
     if row["content_differs"] or row["shared_digests"] or row["sparse_policy"] != row["records"] or row["dense_policy"] != row["records"]:
         raise ValueError(f"the datasets are no pair: {row.asDict()}")
