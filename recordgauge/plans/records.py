@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from recordgauge.functions import dates, equality, fields, jsonx, nulls, schema, slots, text
 from recordgauge.operators import audits, gates, metrics, reports, scoring
 from recordgauge.plans.catalogue import SQL_LABELS, arm_features, label_events, r6, register, sql_features
-from recordgauge.session import table
+from recordgauge.session import spread, table
 
 
 def key() -> Column:
@@ -21,7 +21,7 @@ def key() -> Column:
 
 
 def customers(spark: SparkSession, d: str, *columns: Column) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", *columns)
+    return spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", *columns)
 
 
 def text_of(*parts: Column | str) -> Column:
