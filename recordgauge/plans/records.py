@@ -214,15 +214,25 @@ def column_order(spark: SparkSession, d: str) -> DataFrame:
 )
 def tolerant_text_equality(spark: SparkSession, d: str) -> DataFrame:
     """Numbers as text with and without rounding to 3 decimals, null aliases, dates that keep their precision."""
-    k, m = F.col("l_suppkey") % 4, F.col("l_suppkey") % 3
+    x = table(spark, d, "lineitem").select("l_linenumber", "l_quantity", (F.col("l_suppkey") % 4).alias("k"), (F.col("l_suppkey") % 3).alias("m"), (F.col("l_suppkey") % 2).alias("half"), F.to_date("l_shipdate").alias("day"))
+    k, m = F.col("k"), F.col("m")
     g = F.format_string("%.1f", F.col("l_quantity"))
     p = F.format_string(" %.4f ", F.col("l_quantity") + F.when(k == 1, 0.0104).when(k == 2, 0.02).otherwise(0.0))
-    a, b = F.date_format("l_shipdate", "M/d/yyyy"), F.when(F.col("l_suppkey") % 2 == 0, F.date_format("l_shipdate", "MM/dd/yy")).otherwise(F.date_format("l_shipdate", "M/yyyy"))
+    a, b = F.date_format("day", "M/d/yyyy"), F.when(F.col("half") == 0, F.date_format("day", "MM/dd/yy")).otherwise(F.date_format("day", "M/yyyy"))
     none = F.when(m == 0, " N/A ").when(m == 1, "0").otherwise("nan")
-    x = table(spark, d, "lineitem").select("l_linenumber", g.alias("g"), p.alias("p"), a.alias("a"), b.alias("b"), none.alias("none"))
     eq = equality.values_equal
     flags = {"plain_equal": eq(F.col("g"), F.col("p")), "rounded_equal": eq(F.col("g"), F.col("p"), digits=3, tolerance=0.0105), "null_equal": eq(F.col("none"), F.lit(None)), "date_equal": eq(F.col("a"), F.col("b"), "Nodules.Comparison Date")}
-    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+
+    def counted(source: list[str], texts: dict[str, Column], names: tuple[str, ...]) -> DataFrame:
+        # rows of equal values are counted first: each pair of texts is written and compared once
+        pairs = x.groupBy("l_linenumber", *source).agg(F.count("*").alias("n")).select("l_linenumber", "n", *[c.alias(t) for t, c in texts.items()])
+        return pairs.groupBy("l_linenumber").agg(F.sum("n").alias("n"), *[F.sum(F.when(flags[f], F.col("n")).otherwise(0)).alias(f) for f in names])
+
+    numbers = counted(["l_quantity", "k"], {"g": g, "p": p}, ("plain_equal", "rounded_equal"))
+    for part in (counted(["m"], {"none": none}, ("null_equal",)), counted(["day", "half"], {"a": a, "b": b}, ("date_equal",))):
+        part = part.select(F.col("l_linenumber").alias("line"), *[c for c in part.columns if c in flags])
+        numbers = numbers.join(part, F.col("l_linenumber").eqNullSafe(F.col("line"))).drop("line")
+    return numbers.select("l_linenumber", "n", *flags)
 
 
 @register("date_fields", """SELECT feature, feature LIKE '%Comparison Date' OR feature = 'Follow-up Date' AS dated FROM (SELECT unnest(['Nodules.Comparison Date', 'Follow-up Date', 'Imaging Interval', 'Date', 'x.Comparison Date']) AS feature)""")
